@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanforge.llm import oracles
+from spanforge.llm.pieces import piece_report
 from spanforge.llm.pii import pii_report
+from spanforge.llm.secrets import secret_report
 from spanforge.session import table
 
 
@@ -15,8 +17,16 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii_report(table(spark, folder, "documents"))
 
 
+def op2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_report(table(spark, folder, "documents"))
+
+
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_report(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii}
+    return {"op1_pii": op1_pii, "op2_pieces": op2_pieces, "op7_secrets": op7_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
