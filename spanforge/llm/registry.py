@@ -10,6 +10,7 @@ from spanforge.llm import oracles
 from spanforge.llm.pieces import piece_report
 from spanforge.llm.pii import pii_report
 from spanforge.llm.secrets import secret_report
+from spanforge.llm.toxicity import toxicity_report
 from spanforge.session import table
 
 
@@ -21,12 +22,16 @@ def op2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return piece_report(table(spark, folder, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_report(table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_pieces": op2_pieces, "op7_secrets": op7_secrets}
+    return {"op1_pii": op1_pii, "op2_pieces": op2_pieces, "op5_toxicity": op5_toxicity, "op7_secrets": op7_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
