@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanforge.llm import oracles
+from spanforge.llm.html_blocks import page_report
 from spanforge.llm.pieces import piece_report
 from spanforge.llm.pii import pii_report
 from spanforge.llm.secrets import secret_report
@@ -30,8 +31,12 @@ def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_report(table(spark, folder, "documents"))
 
 
+def op10_html(spark: SparkSession, folder: str) -> DataFrame:
+    return page_report(table(spark, folder, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_pieces": op2_pieces, "op5_toxicity": op5_toxicity, "op7_secrets": op7_secrets}
+    return {"op1_pii": op1_pii, "op2_pieces": op2_pieces, "op5_toxicity": op5_toxicity, "op7_secrets": op7_secrets, "op10_html": op10_html}
 
 
 def oracle_sql() -> dict[str, str]:
