@@ -10,6 +10,7 @@ from spanforge.llm import oracles
 from spanforge.llm.html_blocks import page_report
 from spanforge.llm.pieces import piece_report
 from spanforge.llm.pii import pii_report
+from spanforge.llm.resampling import resample
 from spanforge.llm.secrets import secret_report
 from spanforge.llm.toxicity import toxicity_report
 from spanforge.session import table
@@ -31,12 +32,16 @@ def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_report(table(spark, folder, "documents"))
 
 
+def op9_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_html(spark: SparkSession, folder: str) -> DataFrame:
     return page_report(table(spark, folder, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_pieces": op2_pieces, "op5_toxicity": op5_toxicity, "op7_secrets": op7_secrets, "op10_html": op10_html}
+    return {"op1_pii": op1_pii, "op2_pieces": op2_pieces, "op5_toxicity": op5_toxicity, "op7_secrets": op7_secrets, "op9_resampling": op9_resampling, "op10_html": op10_html}
 
 
 def oracle_sql() -> dict[str, str]:
