@@ -12,6 +12,7 @@ from spanforge.llm.pieces import piece_report
 from spanforge.llm.pii import pii_report
 from spanforge.llm.resampling import resample
 from spanforge.llm.secrets import secret_report
+from spanforge.llm.topk import nearest
 from spanforge.llm.toxicity import toxicity_report
 from spanforge.session import table
 
@@ -24,6 +25,10 @@ def op2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return piece_report(table(spark, folder, "documents"))
 
 
+def op4_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -41,8 +46,8 @@ def op10_html(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_pieces": op2_pieces, "op5_toxicity": op5_toxicity, "op7_secrets": op7_secrets, "op9_resampling": op9_resampling, "op10_html": op10_html}
+    return {"op1_pii": op1_pii, "op2_pieces": op2_pieces, "op4_topk": op4_topk, "op5_toxicity": op5_toxicity, "op7_secrets": op7_secrets, "op9_resampling": op9_resampling, "op10_html": op10_html}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pii": oracles.PII}
+    return {"op1_pii": oracles.PII, "op4_topk": oracles.TOPK}
