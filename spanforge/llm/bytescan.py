@@ -16,6 +16,9 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Breaks words at every ASCII byte that is no letter or digit, too.
+PUNCTUATION = SPACE.copy()
+PUNCTUATION[[b for b in range(128) if not chr(b).isalnum()]] = True
 PRIME = np.uint64(0x100000001B3)
 _POWERS = np.cumprod(np.full(1 << 12, PRIME, dtype=np.uint64), dtype=np.uint64)
 
@@ -36,7 +39,17 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def word_hashes(raw: np.ndarray) -> np.ndarray:
+def fold_latin(raw: np.ndarray) -> np.ndarray:
+    """The bytes with the capitals of U+00C0 to U+00DE in lower case."""
+    lead = np.flatnonzero(raw[:-1] == 0xC3) + 1
+    lead = lead[(raw[lead] >= 0x80) & (raw[lead] <= 0x9E) & (raw[lead] != 0x97)]
+    if len(lead):
+        raw = raw.copy()
+        raw[lead] += 32
+    return raw
+
+
+def word_hashes(raw: np.ndarray, breaks: np.ndarray = SPACE) -> np.ndarray:
     """A 64-bit hash of each word of one text, given as bytes."""
     parts = []
     at, n = 0, len(raw)
@@ -44,13 +57,13 @@ def word_hashes(raw: np.ndarray) -> np.ndarray:
         stop = min(n, at + PIECE)
         if stop < n:  # to the end of a word
             while True:
-                ends = np.flatnonzero(SPACE[raw[stop : stop + PIECE]])
+                ends = np.flatnonzero(breaks[raw[stop : stop + PIECE]])
                 if len(ends) or stop + PIECE >= n:
                     stop = stop + int(ends[0]) if len(ends) else n
                     break
                 stop += PIECE
         piece = LOWER[raw[at:stop]]
-        word = ~SPACE[piece]
+        word = ~breaks[piece]
         edge = np.diff(word.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         if len(starts):

@@ -74,3 +74,28 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 WHERE rank <= 20
 """
+
+_CAPITALS = "".join(chr(c) for c in [*range(65, 91), *(c for c in range(0xC0, 0xDF) if c != 0xD7)])
+_SMALLS = "".join(chr(ord(c) + 32) for c in _CAPITALS)
+
+
+def _shingled(table: str, key: str) -> str:
+    """The distinct runs of five words (all words, if fewer) of each text."""
+    return f"""
+SELECT DISTINCT {key}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+       ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+FROM (SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), '{_CAPITALS}', '{_SMALLS}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM {table})"""
+
+
+LEAKS = f"""
+WITH items AS ({_shingled("benchmark", "item_id")}),
+docs AS ({_shingled("documents", "doc_id")}),
+sizes AS (SELECT item_id, count(*) AS n FROM items GROUP BY item_id),
+shared AS (SELECT doc_id, item_id, count(*) AS n FROM docs JOIN items USING (s) GROUP BY doc_id, item_id),
+leaks AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items, max(shared.n / sizes.n) AS overlap
+  FROM shared JOIN sizes USING (item_id) WHERE 10 * shared.n >= 8 * sizes.n GROUP BY doc_id
+)
+SELECT d.doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(items, '') AS items, coalesce(overlap, 0.0) AS overlap
+FROM documents d LEFT JOIN leaks USING (doc_id)
+"""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanforge.llm import oracles
+from spanforge.llm.decontamination import leak_report
 from spanforge.llm.html_blocks import page_report
 from spanforge.llm.pieces import piece_report
 from spanforge.llm.pii import pii_report
@@ -37,6 +38,10 @@ def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_report(table(spark, folder, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return leak_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op9_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -46,8 +51,8 @@ def op10_html(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_pieces": op2_pieces, "op4_topk": op4_topk, "op5_toxicity": op5_toxicity, "op7_secrets": op7_secrets, "op9_resampling": op9_resampling, "op10_html": op10_html}
+    return {"op1_pii": op1_pii, "op2_pieces": op2_pieces, "op4_topk": op4_topk, "op5_toxicity": op5_toxicity, "op7_secrets": op7_secrets, "op8_decontamination": op8_decontamination, "op9_resampling": op9_resampling, "op10_html": op10_html}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pii": oracles.PII, "op4_topk": oracles.TOPK}
+    return {"op1_pii": oracles.PII, "op4_topk": oracles.TOPK, "op8_decontamination": oracles.LEAKS}
