@@ -99,3 +99,33 @@ leaks AS (
 SELECT d.doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(items, '') AS items, coalesce(overlap, 0.0) AS overlap
 FROM documents d LEFT JOIN leaks USING (doc_id)
 """
+
+NEAR = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s
+  FROM words
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+classes AS (
+  SELECT doc_id, min(doc_id) OVER (PARTITION BY digest) AS rep
+  FROM (SELECT doc_id, md5(string_agg(s, chr(10) ORDER BY s)) AS digest FROM sets GROUP BY doc_id)
+),
+reps AS (SELECT sets.* FROM sets JOIN classes USING (doc_id) WHERE doc_id = rep),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM reps a JOIN reps b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 85 * (x.n + y.n - shared.n)
+),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT DISTINCT a AS node, a AS root FROM edges
+  UNION
+  SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node WHERE r.root <= e.b
+),
+roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, coalesce(r.root, c.rep, d.doc_id) AS component_id, coalesce(r.root, c.rep, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes z USING (doc_id) LEFT JOIN classes c USING (doc_id) LEFT JOIN roots r ON r.node = c.rep
+"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spanforge.llm import oracles
 from spanforge.llm.decontamination import leak_report
 from spanforge.llm.html_blocks import page_report
+from spanforge.llm.near_dup import near_duplicates
 from spanforge.llm.pieces import piece_report
 from spanforge.llm.pii import pii_report
 from spanforge.llm.resampling import resample
@@ -26,6 +27,10 @@ def op2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return piece_report(table(spark, folder, "documents"))
 
 
+def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"), width=3, percent=85)
+
+
 def op4_topk(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "embeddings"))
 
@@ -51,8 +56,8 @@ def op10_html(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_pieces": op2_pieces, "op4_topk": op4_topk, "op5_toxicity": op5_toxicity, "op7_secrets": op7_secrets, "op8_decontamination": op8_decontamination, "op9_resampling": op9_resampling, "op10_html": op10_html}
+    return {"op1_pii": op1_pii, "op2_pieces": op2_pieces, "op3_minhash": op3_minhash, "op4_topk": op4_topk, "op5_toxicity": op5_toxicity, "op7_secrets": op7_secrets, "op8_decontamination": op8_decontamination, "op9_resampling": op9_resampling, "op10_html": op10_html}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pii": oracles.PII, "op4_topk": oracles.TOPK, "op8_decontamination": oracles.LEAKS}
+    return {"op1_pii": oracles.PII, "op3_minhash": oracles.NEAR, "op4_topk": oracles.TOPK, "op8_decontamination": oracles.LEAKS}
