@@ -10,6 +10,7 @@ from spanforge.llm import oracles
 from spanforge.llm.decontamination import leak_report
 from spanforge.llm.html_blocks import page_report
 from spanforge.llm.near_dup import near_duplicates
+from spanforge.llm.passages import passage_report
 from spanforge.llm.pieces import piece_report
 from spanforge.llm.pii import pii_report
 from spanforge.llm.resampling import resample
@@ -39,6 +40,10 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op6_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passage_report(table(spark, folder, "documents"))
+
+
 def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_report(table(spark, folder, "documents"))
 
@@ -56,7 +61,7 @@ def op10_html(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_pieces": op2_pieces, "op3_minhash": op3_minhash, "op4_topk": op4_topk, "op5_toxicity": op5_toxicity, "op7_secrets": op7_secrets, "op8_decontamination": op8_decontamination, "op9_resampling": op9_resampling, "op10_html": op10_html}
+    return {"op1_pii": op1_pii, "op2_pieces": op2_pieces, "op3_minhash": op3_minhash, "op4_topk": op4_topk, "op5_toxicity": op5_toxicity, "op6_passages": op6_passages, "op7_secrets": op7_secrets, "op8_decontamination": op8_decontamination, "op9_resampling": op9_resampling, "op10_html": op10_html}
 
 
 def oracle_sql() -> dict[str, str]:
