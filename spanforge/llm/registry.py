@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from spanforge.llm import oracles
 from spanforge.llm.decontamination import leak_report
 from spanforge.llm.html_blocks import page_report
@@ -60,8 +62,14 @@ def op10_html(spark: SparkSession, folder: str) -> DataFrame:
     return page_report(table(spark, folder, "pages"))
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole pipeline; token ids as a string, which compares by value everywhere."""
+    got = corpus_pipeline.run(spark, folder)
+    return got.select("doc_id", "n_tokens", F.array_join("token_ids", ",").alias("token_ids"), "lossless")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_pieces": op2_pieces, "op3_minhash": op3_minhash, "op4_topk": op4_topk, "op5_toxicity": op5_toxicity, "op6_passages": op6_passages, "op7_secrets": op7_secrets, "op8_decontamination": op8_decontamination, "op9_resampling": op9_resampling, "op10_html": op10_html}
+    return {"op1_pii": op1_pii, "op2_pieces": op2_pieces, "op3_minhash": op3_minhash, "op4_topk": op4_topk, "op5_toxicity": op5_toxicity, "op6_passages": op6_passages, "op7_secrets": op7_secrets, "op8_decontamination": op8_decontamination, "op9_resampling": op9_resampling, "op10_html": op10_html, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
