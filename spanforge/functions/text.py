@@ -104,7 +104,9 @@ def content_text(v: Column) -> Column:
     """A result's content as text: a string itself, of an array the texts and contents of its objects by line, else its JSON."""
     items = F.try_variant_get(v, "$", "array<variant>")
     parts = F.flatten(F.transform(items, lambda x: F.array(string_at(x, "$.text"), string_at(x, "$.content"))))
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.to_json(v), "<", r"\\\\u003c"), ">", r"\\\\u003e"), "&", r"\\\\u0026")
+    plain = F.to_json(v)
+    for char, code in (("<", "003c"), (">", "003e"), ("&", "0026")):
+        plain = F.replace(plain, F.lit(char), F.lit("\\u" + code))
     return (
         F.when(v.isNull() | F.is_variant_null(v), "")
         .when(is_kind(v, "STRING"), F.try_variant_get(v, "$", "string"))
