@@ -1,0 +1,32 @@
+"""The live tail: what arrives in pieces is what a whole read gives, each row once."""
+
+import json
+
+from pyspark.sql import functions as F
+
+from spanforge.streaming.tail import pair_stream, tail_lines
+
+
+def test_tail_pairs_across_batches(spark, tmp_path):
+    folder, state, out = tmp_path / "logs", str(tmp_path / "state"), str(tmp_path / "out")
+    folder.mkdir()
+    log = folder / "s.jsonl"
+
+    def item(kind, call="", note="", content=""):
+        return json.dumps({"kind": kind, "call_id": call, "tool": "Read", "input": "{}", "ts": "t", "content": content, "is_error": False, "note": note})
+
+    def run():
+        schema = "kind string, call_id string, tool string, input string, ts string, content string, is_error boolean, note string"
+        lines = tail_lines(spark, str(folder)).select(F.col("path").alias("session_key"), F.col("end_offset").alias("pos"), F.from_json("line", schema).alias("j"))
+        query = pair_stream(lines.select("session_key", "pos", "j.*")).writeStream.format("parquet").option("checkpointLocation", state).option("path", out).trigger(availableNow=True).outputMode("append").start()
+        assert query.awaitTermination(120) and query.exception() is None
+        return [(r["seq"], r["call_id"], r["content"], [json.loads(m)["note"] for m in r["marks"]]) for r in spark.read.parquet(out).orderBy("seq").collect()]
+
+    log.write_text(item("user-message", note="first") + "\n" + item("call", "a") + "\n" + item("call", "b") + "\n" + item("result", "b", content="B")[:20])
+    assert run() == []  # the result's line is not complete, nothing is out yet
+    log.write_text(item("user-message", note="first") + "\n" + item("call", "a") + "\n" + item("call", "b") + "\n" + item("result", "b", content="B") + "\n" + item("user-message", note="second") + "\n")
+    assert run() == [(0, "b", "B", ["first"])]
+    with log.open("a") as f:
+        f.write(item("result", "zz") + "\n" + item("result", "a", content="A") + "\n")
+    assert run() == [(0, "b", "B", ["first"]), (1, "a", "A", ["second"])]
+    assert len(run()) == 2
