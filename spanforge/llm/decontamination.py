@@ -14,7 +14,7 @@ Items are spread over indexes by length class and size: each has at most ``INDEX
 indexes, and each document is queried against all of them in turn. No rows of documents are moved.
 
 Defined cases: null and empty texts, and items without words, match nothing; items of fewer than five words count as one
-shingle; equal items are all reported, a repeated item id counts once; repeated documents are each reported; other columns
+shingle, found wherever these words follow one another; equal items are all reported, a repeated item id counts once; repeated documents are each reported; other columns
 of the documents are carried along, unless named as the result; empty tables give no leaks. Texts are used whole.
 """
 
@@ -65,6 +65,11 @@ def parts_of(text: str) -> tuple[str, str]:
     return (text[: cuts[-1]], text[cuts[-1] :]) if cuts else (text, "")
 
 
+def shingled(words: np.ndarray) -> tuple[np.ndarray, int]:
+    """The distinct shingles of an item or a part of it, and their width: fewer words than WIDTH are one shingle."""
+    return np.unique(shingles(words, WIDTH)), min(WIDTH, len(words))
+
+
 @dataclass
 class Postings:
     """The items of one term by number, what each adds, and the most that any of a block of them adds."""
@@ -82,8 +87,8 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         kept = [(i, w, t) for i, t in items if len(w := words_of(raw_of(t)))]
         self.ids = [i for i, _, _ in kept]
-        self.shingles = [np.unique(shingles(w, WIDTH)) for _, w, _ in kept]
-        self.parts = [tuple(np.unique(shingles(words_of(raw_of(p)), WIDTH)) for p in parts_of(t)) for _, _, t in kept]
+        self.shingles = [shingled(w) for _, w, _ in kept]
+        self.parts = [tuple(shingled(words_of(raw_of(p))) for p in parts_of(t)) for _, _, t in kept]
         self.longest = max((len(w) for _, w, _ in kept), default=0)
         self.passage = 2 * max(SHORTEST, self.longest)
         own = [Counter((terms_of(w) if len(w) > 1 else w).tolist()) for _, w, _ in kept]
@@ -180,17 +185,25 @@ class Index:
         found = self.candidates(words)
         if not found:
             return []
-        have = np.unique(shingles(words, WIDTH))
+        have: dict[int, np.ndarray] = {}
+
+        def common(part: tuple[np.ndarray, int]) -> int:
+            own, width = part
+            if not len(own):
+                return 0
+            if width not in have:
+                have[width] = np.unique(shingles(words, width))
+            return int(np.isin(own, have[width]).sum())
 
-        def share(part: np.ndarray) -> float:
-            return float(np.isin(part, have).mean()) if len(part) else 0.0
+        def share(part: tuple[np.ndarray, int]) -> float:
+            return common(part) / len(part[0]) if len(part[0]) else 0.0
 
         out = []
         for item in sorted(found):
             own = self.shingles[item]
-            common = int(np.isin(own, have).sum())
-            if 10 * common >= 8 * len(own):
-                out.append((self.ids[item], found[item], common / len(own), *(share(p) for p in self.parts[item])))
+            shared = common(own)
+            if 10 * shared >= 8 * len(own[0]):
+                out.append((self.ids[item], found[item], shared / len(own[0]), *(share(p) for p in self.parts[item])))
         return out
 
 

@@ -80,7 +80,7 @@ _SMALLS = "".join(chr(ord(c) + 32) for c in _CAPITALS)
 
 
 def _shingled(table: str, key: str) -> str:
-    """The distinct runs of five words (all words, if fewer) of each text."""
+    """The distinct runs of five words (all words, if fewer: no item of the given tables is that short) of each text."""
     return f"""
 SELECT DISTINCT {key}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
