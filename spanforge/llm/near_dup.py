@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.llm.bytescan import mix, shingles, texts, word_hashes
@@ -37,10 +37,11 @@ from spanforge.llm.hyperminhash import BANDS, REGISTERS, bands, estimate, minima
 from spanforge.llm.shared import cut
 
 WIDTH, PERCENT = 5, 80
-#: How far below the threshold an estimate may lie: about five standard deviations of the estimate at 0.85.
-MARGIN = 0.16
+#: How far below the threshold an estimate may lie: about four standard deviations of the estimate at 0.85.
+MARGIN = 0.13
 PROBES, BASES = 256, 2048
-FIRST = 8
+#: Pairs of each probe that are verified in the first round, and how many times more in each later one.
+FIRST, MORE = 32, 16
 
 
 def shingle_set(raw: np.ndarray | None, width: int) -> np.ndarray:
@@ -78,16 +79,18 @@ def sketches(df: DataFrame, width: int) -> DataFrame:
 
 
 def _band_rows(nodes: DataFrame) -> DataFrame:
-    """bucket, node: a row for each band of each node."""
+    """bucket, band, node: a row for each band of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 rows = np.frombuffer(b"".join(part.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-                yield pa.RecordBatch.from_arrays([pa.array(bands(rows).ravel()), pa.array(np.repeat(part.column("node").to_numpy(), BANDS))], names=["bucket", "node"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bands(rows).ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int8), len(rows))), pa.array(np.repeat(part.column("node").to_numpy(), BANDS))],
+                    names=["bucket", "band", "node"])
 
-    return nodes.select("node", "regs").mapInArrow(run, "bucket long, node long")
+    return nodes.select("node", "regs").mapInArrow(run, "bucket long, band byte, node long")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -132,9 +135,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
 def _open_pairs(members: DataFrame, nodes: DataFrame, found: DataFrame, percent: int, most: int) -> DataFrame:
     """a, b, more: likely pairs of nodes that share a bucket but not yet a component; the most likely of each probe, and whether it has more.
 
-    In each bucket the nodes outside its largest component are probes; blocks of probes meet blocks of the bucket.
+    In each bucket the nodes outside its largest component are probes; blocks of probes meet blocks of the bucket. A pair
+    that shares several bands is taken up in the first of them only.
     """
-    placed = members.join(found.withColumnRenamed("component", "c"), "node", "left").select("bucket", "node", F.coalesce("c", "node").alias("c"))
+    placed = members.join(found.withColumnRenamed("component", "c"), "node", "left").select("bucket", "node", F.coalesce("c", "node").alias("c"), "band")
     counted = placed.groupBy("bucket", "c").agg(F.count("*").alias("k"))
     mixed = cut(counted.groupBy("bucket").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count("*").alias("parts"), F.sum("k").alias("size")).where(F.col("parts") > 1))
     main = counted.join(mixed.select("bucket", "main"), ["bucket"]).where(F.col("c") == F.col("main")).select("bucket", F.col("k").alias("main_size"))
@@ -142,8 +146,8 @@ def _open_pairs(members: DataFrame, nodes: DataFrame, found: DataFrame, percent:
     rows = placed.join(mixed, "bucket").join(nodes.select("node", "n", "regs"), "node")
     block, chunk = F.pmod(F.xxhash64("node"), F.col("blocks")), F.pmod(F.xxhash64(F.lit(7), F.col("node")), F.col("chunks"))
     zero = F.lit(0).cast("long")
-    base = rows.select("bucket", "node", "c", "n", "regs", F.lit(False).alias("probe"), block.alias("block"), F.explode(F.sequence(zero, F.col("chunks") - 1)).alias("chunk"))
-    probe = rows.where(F.col("c") != F.col("main")).select("bucket", "node", "c", "n", "regs", F.lit(True).alias("probe"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"), chunk.alias("chunk"))
+    base = rows.select("bucket", "band", "node", "c", "n", "regs", F.lit(False).alias("probe"), block.alias("block"), F.explode(F.sequence(zero, F.col("chunks") - 1)).alias("chunk"))
+    probe = rows.where(F.col("c") != F.col("main")).select("bucket", "band", "node", "c", "n", "regs", F.lit(True).alias("probe"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"), chunk.alias("chunk"))
     least = percent / 100 - MARGIN
 
     def run(table: pa.Table) -> pa.Table:
@@ -151,21 +155,37 @@ def _open_pairs(members: DataFrame, nodes: DataFrame, found: DataFrame, percent:
         regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
         is_probe = table.column("probe").to_numpy(zero_copy_only=False)
         base = np.flatnonzero(~is_probe)
-        a, b, more = [], [], []
+        a, b, more, scores = [], [], [], []
+        earlier = bands(regs)[:, : table.column("band")[0].as_py()]
         for p in np.flatnonzero(is_probe):
             score = estimate((regs[base] == regs[p]).sum(axis=1), sizes[base], np.full(len(base), sizes[p]))
             fits = 100 * np.minimum(sizes[base], sizes[p]) >= percent * np.maximum(sizes[base], sizes[p])
             good = np.flatnonzero((comps[base] != comps[p]) & (score >= least) & fits)
+            good = good[~(earlier[base[good]] == earlier[p]).any(axis=1)]
             more.append(np.full(min(len(good), most), len(good) > most))
             good = good[np.argsort(-score[good], kind="stable")[:most]]
-            a.append(np.minimum(ids[base[good]], ids[p]))
-            b.append(np.maximum(ids[base[good]], ids[p]))
+            a.append(np.full(len(good), ids[p]))
+            b.append(ids[base[good]])
+            scores.append(score[good])
         none = np.zeros(0, np.int64)
         return pa.table({
             "a": pa.array(np.concatenate([none, *a]), pa.int64()), "b": pa.array(np.concatenate([none, *b]), pa.int64()),
-            "more": pa.array(np.concatenate([none.astype(bool), *more]), pa.bool_())})
+            "more": pa.array(np.concatenate([none.astype(bool), *more]), pa.bool_()), "score": pa.array(np.concatenate([none.astype(float), *scores]), pa.float64())})
+
+    got = base.unionByName(probe).groupBy("bucket", "block", "chunk").applyInArrow(run, "a long, b long, more boolean, score double")
+    # The most likely of each probe over all its buckets: it has most rows from each of its bands and blocks, at most.
+    ranked = got.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).withColumn("beyond", F.max(F.col("rank")).over(Window.partitionBy("a")) > most)
+    return ranked.where(F.col("rank") <= most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("more") | F.col("beyond")).alias("more"))
+
 
-    return base.unionByName(probe).groupBy("bucket", "block", "chunk").applyInArrow(run, "a long, b long, more boolean")
+def _merged(found: DataFrame, more: DataFrame) -> DataFrame:
+    """node, component after further links: only the components that these join are looked at again."""
+    of = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+    ends = cut(more.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("c_a", "a").alias("c_a"), F.coalesce("c_b", "b").alias("c_b")))
+    joined = components(ends.select("c_a", "c_b").distinct(), "c_a", "c_b").select(F.col("node").alias("component"), F.col("component").alias("least"))
+    fresh = ends.select(F.col("a").alias("node"), F.col("c_a").alias("component")).union(ends.select("b", "c_b")).distinct()
+    every = found.union(fresh.join(found, "node", "left_anti"))
+    return every.join(joined, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
 
 
 def link_classes(df: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -184,12 +204,12 @@ def link_classes(df: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> t
     own = docs.select(F.col("doc_id").alias("node"), "text")
     links = cut(_verified(likely, own.join(ids, "node", "left_semi"), width, percent).distinct())
     found = cut(components(links))
-    larger = members.where(F.col("size") > 2).select("bucket", "node")
+    larger = members.where(F.col("size") > 2).select("bucket", "band", "node")
     tried, most = likely, FIRST
     while True:
         opened = cut(_open_pairs(larger, nodes, found, percent, most))
         fresh = cut(opened.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        most *= 4
+        most *= MORE
         if fresh.isEmpty():
             if opened.where("more").isEmpty():
                 break
@@ -197,8 +217,7 @@ def link_classes(df: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> t
         more = cut(_verified(fresh, own, width, percent).distinct())
         tried = tried.union(fresh)
         if not more.isEmpty():
-            links = links.union(more)
-            found = cut(components(links))
+            found = cut(_merged(found, more))
     merged = classes.join(found, "node", "left").select("f1", "f2", F.col("node").alias("rep"), F.coalesce("component", "node").alias("component"))
     return rows, cut(merged)
 
