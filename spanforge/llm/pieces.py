@@ -1,10 +1,10 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and lossless decoding.
 
 The encoder keeps an agenda (a heap) of candidate merges, best score first, leftmost first among equals. With
-merge-dropout each candidate taken from the agenda is skipped where a keyed hash of (seed, variant, word, place, pair)
-falls below the rate, so that one seed gives one segmentation and other seeds give others, and no random state is
-carried from row to row. The variant of a document is a keyed hash of its id, so that short
-words are cut in up to ``VARIANTS`` ways in a corpus and results can still be kept per word.
+merge-dropout each candidate taken from the agenda is skipped at the given rate, independently at each place of each document:
+the candidates of a document are counted in order, and a keyed hash of (seed, id of the document, how many were skipped) gives how many
+are taken until the next is skipped. So one seed gives one segmentation of a document and other seeds give others, and no random state is
+carried from row to row. Only what follows from a word and from which of its candidates are skipped is kept for other places.
 
 No piece of the model reaches from a word into the space after it, so a text is encoded word by word ("word": a run of
 space marks and the run of other characters after it), which gives what the model's own encoder gives. Characters
@@ -19,9 +19,10 @@ empty result. Very long texts and very long words are encoded whole.
 from __future__ import annotations
 
 import heapq
+import math
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from operator import add
 
@@ -33,12 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanforge.llm.bytescan import mix
+
 MODEL = os.environ.get("SPANFORGE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
-VARIANTS = 4
-#: Words of up to this length are cut in VARIANTS ways; longer ones, which seldom recur, in one for each seed.
-VARIED = 6
 #: Encoded words, and parts of words, kept by a Python worker in each of two generations, and the longest that is kept.
 KEPT_WORDS, KEPT_LENGTH = 100_000, 48
+#: Up to so many skipped candidates of one word, what results is kept.
+KEPT_SKIPS = 2
 MARK = "▁"
 
 
@@ -73,15 +75,45 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+def skips(rate: float, key: int) -> Callable[[], int]:
+    """A function that gives, call by call, how many candidates are taken before the next one that is skipped, by a keyed hash."""
+    if rate >= 1:
+        return lambda: 0
+    held: list[int] = []
+    drawn = 0
+
+    def draw() -> int:
+        nonlocal drawn
+        if not held:
+            many = min(max(16, drawn), 4096)
+            hashes = mix(np.arange(drawn, drawn + many, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key))
+            held.extend(np.floor(np.log(((hashes >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53) / math.log1p(-rate)).astype(np.int64)[::-1].tolist())
+            drawn += many
+        return held.pop()
+
+    return draw
+
+
 def segment(m: PieceModel, word: str, rate: float, key: bytes) -> list[str]:
-    """The pieces of one word, by agenda.
+    """The pieces of one word, by agenda."""
+    if rate <= 0:
+        return merged(m, word)[0]
+    draw = skips(rate, xxhash.xxh64_intdigest(key + word.encode()))
+    return merged(m, word, (draw(),), draw)[0]
+
+
+def merged(m: PieceModel, word: str, skipped: tuple[int, ...] = (), draw: Callable[[], int] | None = None) -> tuple[list[str], int, int]:
+    """The pieces of one word if the candidates with these numbers are skipped, and after them those that draw gives; the
+    number of candidates; and, with draw, the number of the next to be skipped.
 
     A candidate is one number: the rank of its score, where it begins, and where it ends. It holds as long as what
     begins there and what follows it end there too.
     """
     n = len(word)
+    known, taken = iter(skipped), 0
+    skip = next(known, -1)
     if n == 1:
-        return [word]
+        return [word], 0, skip
     get = m.rank.get
     bits = 20 if n < 1 << 20 else 40
     low, high = (1 << bits) - 1, 2 * bits
@@ -92,8 +124,6 @@ def segment(m: PieceModel, word: str, rate: float, key: bytes) -> list[str]:
             agenda.append(r << high | k << bits | k + 2)
     heapq.heapify(agenda)
     ends, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the symbol that begins at each place
-    bound = int(rate * 2**32)
-    base = xxhash.xxh64_intdigest(key + word.encode()) if bound else 0
     pop, push = heapq.heappop, heapq.heappush
     while agenda:
         x = pop(agenda)
@@ -101,8 +131,12 @@ def segment(m: PieceModel, word: str, rate: float, key: bytes) -> list[str]:
         cut = ends[a]
         if cut < 0 or cut == n or ends[cut] != end:
             continue
-        if bound and ((base ^ (x * 0x9E3779B97F4A7C15 + cut)) * 0xFF51AFD7ED558CCD & 0xFFFFFFFFFFFFFFFF) >> 32 < bound:
-            continue  # dropped by the keyed hash of (word, candidate, where its halves meet)
+        taken += 1
+        if taken > skip >= 0:
+            skip = next(known, -1)
+            if skip < 0 and draw:
+                skip = taken + draw()
+            continue
         ends[a], ends[cut] = end, -1
         if end < n:
             before[end] = a
@@ -118,7 +152,7 @@ def segment(m: PieceModel, word: str, rate: float, key: bytes) -> list[str]:
     while a < n:
         out.append(word[a : ends[a]])
         a = ends[a]
-    return out
+    return out, taken, skip
 
 
 class Kept:
@@ -127,19 +161,18 @@ class Kept:
     def __init__(self, most: int):
         self.most, self.new, self.old = most, {}, {}
 
-    def find(self, word: str) -> bytes | None:
-        """What is kept of a word that the new generation lacks."""
-        ids = self.old.get(word)
-        if ids is not None:
-            self.keep(word, ids)
-        return ids
+    def find(self, word) -> tuple | None:
+        """What is kept of a word, or of a word with skipped candidates, that the new generation lacks."""
+        got = self.old.get(word)
+        if got is not None:
+            self.keep(word, got)
+        return got
 
-    def keep(self, word: str, ids: bytes) -> None:
-        if len(word) <= KEPT_LENGTH:
-            if len(self.new) >= self.most:
-                self.old = dict(self.new)
-                self.new.clear()  # the same dict, so a bound get stays good
-            self.new[word] = ids
+    def keep(self, word, got: tuple) -> None:
+        if len(self.new) >= self.most:
+            self.old = dict(self.new)
+            self.new.clear()  # the same dict, so a bound get stays good
+        self.new[word] = got
 
 
 class Encoder:
@@ -147,17 +180,16 @@ class Encoder:
 
     def __init__(self, m: PieceModel, rate: float = 0.0, seed: int = 0):
         self.m, self.rate, self.key = m, rate, b"%d|" % seed
-        self.short: dict[int, Kept] = {}
-        self.words, self.parts = Kept(KEPT_WORDS), Kept(KEPT_WORDS)
+        self.words, self.parts, self.skipped = Kept(KEPT_WORDS), Kept(KEPT_WORDS), Kept(KEPT_WORDS)
         self.mark = self._packed([m.bytes[b] for b in MARK.encode()] if m.bytes else [m.unknown])
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
         return np.array(ids, dtype="<i4").tobytes()
 
-    def _part(self, part: str, key: bytes) -> bytes:
+    def _ids(self, pieces: list[str]) -> bytes:
         m, out = self.m, []
-        for p in segment(m, part, self.rate, key):
+        for p in pieces:
             i = m.ids.get(p)
             if i is not None:
                 out.append(i)
@@ -167,49 +199,89 @@ class Encoder:
                 out.append(m.unknown)
         return self._packed(out)
 
-    def _long(self, word: str) -> bytes:
-        """A word is cut where no piece has the two characters side by side: no merge crosses there."""
-        pairs, parts, out, start = self.m.pairs, self.parts, [], 0
-        get = parts.new.get
-        cuts = [k for k, pair in enumerate(map(add, word, word[1:]), 1) if pair not in pairs]
-        for k in (*cuts, len(word)):
-            part = word[start:k]
-            ids = get(part)
-            if ids is None:
-                ids = parts.find(part)
-                if ids is None:
-                    ids = self._part(part, self.key)
-                    parts.keep(part, ids)
-            out.append(ids)
-            start = k
-        return b"".join(out)
-
-    def encode(self, text: str, variant: int = 0) -> bytes:
-        """The ids of a text, little-endian, four bytes each."""
+    def _part(self, part: str) -> tuple[bytes, int]:
+        """The ids of a part of a word without skips, and the number of its candidates."""
+        got = self.parts.new.get(part) or self.parts.find(part)
+        if got is None:
+            pieces, taken, _ = merged(self.m, part)
+            got = self._ids(pieces), taken
+            if len(part) <= KEPT_LENGTH:
+                self.parts.keep(part, got)
+        return got
+
+    def _word(self, word: str) -> tuple[bytes, int, list[str]]:
+        """The ids of a word without skips, the number of its candidates, and its parts.
+
+        A word is cut where no piece has the two characters side by side: no merge crosses there.
+        """
+        got = self.words.find(word)
+        if got is None:
+            pairs = self.m.pairs
+            cuts = [k for k, pair in enumerate(map(add, word, word[1:]), 1) if pair not in pairs]
+            parts = [word[p:q] for p, q in zip((0, *cuts), (*cuts, len(word)), strict=True)]
+            if cuts:
+                each = [self._part(p) for p in parts]
+                got = b"".join(ids for ids, _ in each), sum(taken for _, taken in each), parts
+            else:
+                pieces, taken, _ = merged(self.m, word)
+                got = self._ids(pieces), taken, parts
+            if len(word) <= KEPT_LENGTH:
+                self.words.keep(word, got)
+        return got
+
+    def _skipping(self, kept: tuple[bytes, int, list[str]], left: int, draw: Callable[[], int]) -> tuple[bytes, int]:
+        """The ids of a word of which a candidate is skipped after so many, and how many are left after it until the next is."""
+        ids, taken, parts = kept
+        if len(parts) > 1:
+            out = []
+            for part in parts:
+                own, n = self._part(part)
+                if n <= left:
+                    left -= n
+                else:
+                    own, left = self._skipping((own, n, [part]), left, draw)
+                out.append(own)
+            return b"".join(out), left
+        part, skipped = parts[0], (left,)
+        while len(part) <= KEPT_LENGTH and len(skipped) <= KEPT_SKIPS:
+            form = (part, *skipped)
+            got = self.skipped.new.get(form) or self.skipped.find(form)
+            if got is None:
+                pieces, taken, _ = merged(self.m, part, skipped)
+                got = self._ids(pieces), taken
+                self.skipped.keep(form, got)
+            after = skipped[-1] + 1 + draw()
+            if after >= got[1]:
+                return got[0], after - got[1]
+            skipped = (*skipped, after)
+        pieces, taken, after = merged(self.m, part, skipped, draw)
+        return self._ids(pieces), after - taken
+
+    def encode(self, text: str, document: int = 0) -> bytes:
+        """The ids of a text, little-endian, four bytes each; document is a hash of its id."""
         if not text:
             return b""
-        short, words = self.short.setdefault(variant, Kept(KEPT_WORDS)), self.words
-        key = self.key + b"%d|" % variant
-        get, long, out = short.new.get, words.new.get, []
+        draw = skips(self.rate, xxhash.xxh64_intdigest(self.key + b"%d" % document)) if self.rate > 0 else None
+        left = draw() if draw else 1 << 62
+        get, find, out = self.words.new.get, self._word, []
         for piece, literal in _parts(text):
             if literal:
                 out.append(self.mark)
                 continue
             for word in self.m.cut.findall(piece):
-                ids = get(word) or long(word)
-                if ids is None:
-                    own = short if len(word) <= VARIED else words
-                    ids = own.find(word)
-                    if ids is None:
-                        ids = self._part(word, key) if own is short else self._long(word)
-                        own.keep(word, ids)
-                out.append(ids)
+                kept = get(word) or find(word)
+                if kept[1] <= left:
+                    left -= kept[1]
+                    out.append(kept[0])
+                else:
+                    ids, left = self._skipping(kept, left, draw)
+                    out.append(ids)
         return b"".join(out)
 
 
-def encode(m: PieceModel, text: str, rate: float = 0.0, seed: int = 0, variant: int = 0, encoder: Encoder | None = None) -> list[int]:
+def encode(m: PieceModel, text: str, rate: float = 0.0, seed: int = 0, document: int = 0, encoder: Encoder | None = None) -> list[int]:
     """The ids of a text; with a rate above 0, of one of its segmentations."""
-    return np.frombuffer((encoder or Encoder(m, rate, seed)).encode(text, variant), "<i4").tolist()
+    return np.frombuffer((encoder or Encoder(m, rate, seed)).encode(text, document), "<i4").tolist()
 
 
 def _parts(text: str) -> Iterator[tuple[str, bool]]:
@@ -238,7 +310,7 @@ def encode_pieces(df: DataFrame, text: str = "text", key: str = "doc_id", ids: s
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 got = [
-                    None if t is None else own.encode(t, xxhash.xxh32_intdigest(str(k), seed & 0xFFFFFFFF) % VARIANTS if rate else 0)
+                    None if t is None else own.encode(t, xxhash.xxh64_intdigest(str(k)) if rate else 0)
                     for k, t in zip(part.column(key).to_pylist(), part.column(text).to_pylist(), strict=True)
                 ]
                 ends = np.cumsum([0, *(len(g or b"") // 4 for g in got)]).astype(np.int32)
