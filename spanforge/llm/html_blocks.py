@@ -68,6 +68,8 @@ def blocks(page: str) -> list[Block]:
     """The flat blocks of a page, in order, in one pass."""
     out: list[Block] = []
     stack: list[tuple[str, int, int, int, int]] = []  # tag; whether it is furniture, article, link, silent
+    opened: dict[str, int] = {}  # how many elements of each tag are on the stack
+    within: list[str] = []  # the block elements on the stack
     furniture = article = link = silent = 0
     text: list[str] = []
     words = linked = 0
@@ -91,6 +93,9 @@ def blocks(page: str) -> list[Block]:
     def leave() -> str:
         nonlocal furniture, article, link, silent
         tag, f, a, l, s = stack.pop()
+        opened[tag] -= 1
+        if tag in BLOCK:
+            within.pop()
         furniture, article, link, silent = furniture - f, article - a, link - l, silent - s
         return tag
 
@@ -107,7 +112,7 @@ def blocks(page: str) -> list[Block]:
         if not tag:
             continue
         if closing:
-            if any(tag == t[0] for t in stack[-256:]):
+            if opened.get(tag):
                 if tag in BLOCK:
                     flush()
                 while leave() != tag:
@@ -117,7 +122,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
-            while stack and (stack[-1][0] in CLOSES and tag in CLOSES[stack[-1][0]] or stack[-1][0] not in BLOCK and stack[-1][0] not in SILENT and _implied(stack, tag)):
+            while stack and (stack[-1][0] in CLOSES and tag in CLOSES[stack[-1][0]] or stack[-1][0] not in BLOCK and stack[-1][0] not in SILENT and within and within[-1] in CLOSES and tag in CLOSES[within[-1]]):  # or an inline element (as an unclosed <b>) in a paragraph that this tag closes
                 leave()
         elif tag == "br":
             add(" ")
@@ -133,19 +138,14 @@ def blocks(page: str) -> list[Block]:
         s = int(tag in SILENT or bool(attributes) and bool(HIDDEN.search(attributes)))
         a, l = int(tag in ("article", "main") or "articlebody" in attributes.lower()), int(tag == "a")
         stack.append((tag, f, a, l, s))
+        opened[tag] = opened.get(tag, 0) + 1
+        if tag in BLOCK:
+            within.append(tag)
         furniture, article, link, silent = furniture + f, article + a, link + l, silent + s
     flush()
     return out
 
 
-def _implied(stack: list[tuple], tag: str) -> bool:
-    """Whether an inline element (as an unclosed <b>) stands in a paragraph that this tag closes; it ends with it."""
-    for t in reversed(stack[-16:]):
-        if t[0] in BLOCK:
-            return t[0] in CLOSES and tag in CLOSES[t[0]]
-    return False
-
-
 #: Labelled blocks to train on: (words, link density, words before, density before, words after, density after, furniture around, article around, main text).
 EXAMPLES = [
     (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0), (2, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0), (1, 1.0, 2, 1.0, 8, 0.0, 1, 0, 0), (8, 0.0, 1, 1.0, 10, 0.0, 1, 0, 0),
