@@ -76,6 +76,14 @@ def extract_paths_query(spark: SparkSession, folder: str) -> DataFrame:
     return pages.select("page_id", join(extract_paths(text)).alias("paths"), join(command_paths(text)).alias("command_paths"))
 
 
+def extract_paths_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """extract_paths reads the first 4,000 characters of a page; this reads all of them."""
+    pages = table(spark, folder, "pages")
+    text = F.concat(F.lit("see "), F.col("url"), F.lit(" src/main.go:12 and lib/a.py lib/b.py: "), F.col("html"))
+    join = lambda c: F.array_join(c, "\n")
+    return pages.select("page_id", join(extract_paths(text)).alias("paths"), join(command_paths(text)).alias("command_paths"))
+
+
 def path_line_hits(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "events")
     n = F.col("event_id").cast("string")
@@ -258,7 +266,7 @@ def classified_targets(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "trace_spans": trace_spans, "trace_turns": trace_turns, "trace_export": trace_export, "span_end_times": span_end_times, "command_kinds": command_kinds, "command_read_paths": command_read_paths, "action_for": action_for,
-    "extract_paths": extract_paths_query, "path_line_hits": path_line_hits, "patch_files": patch_files, "normalize_paths": normalize_paths, "target_merge": target_merge, "truncated_notes": truncated_notes,
+    "extract_paths": extract_paths_query, "extract_paths_whole": extract_paths_whole, "path_line_hits": path_line_hits, "patch_files": patch_files, "normalize_paths": normalize_paths, "target_merge": target_merge, "truncated_notes": truncated_notes,
     "content_to_string": content_to_string, "injected_messages": injected_messages, "pair_latest": pair_latest_query, "pair_first": pair_first_query, "mark_seq": mark_seq, "mark_ride": mark_ride,
     "session_meta": session_meta, "session_filter": session_filter, "session_recency": session_recency, "session_keys": session_keys, "user_messages": user_messages, "strict_times": strict_times,
     "idle_sessions": idle_sessions, "session_gaps": session_gaps, "agent_children": agent_children, "agent_depths": agent_depths, "watermarks": watermarks, "output_failed": output_failed, "classified_targets": classified_targets,

@@ -138,6 +138,7 @@ SQL: dict[str, str] = {
         FROM (SELECT event_id, CASE event_type WHEN 'view' THEN 'Read' WHEN 'click' THEN 'Grep' WHEN 'purchase' THEN 'Edit' WHEN 'signup' THEN 'Mystery' ELSE 'Bash' END AS tool, v.*
               FROM events JOIN {_commands} ON v.i = event_id % {len(COMMANDS)})""",
     "extract_paths": _EXTRACT.format(only=text(PATH_ONLY), command=text(COMMAND_PATH)),
+    "extract_paths_whole": _EXTRACT.replace("substr(html, 1, 4000)", "html").format(only=text(PATH_ONLY), command=text(COMMAND_PATH)),
     "path_line_hits": f"""
         WITH t AS (SELECT event_id, 'src/a.go:' || event_id || ':x' || chr(10) || '(pkg/b.py:0) ''c.txt:12'' src/a.go:7 lib/d.rs' AS text FROM events),
         hits AS (
