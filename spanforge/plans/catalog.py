@@ -194,6 +194,17 @@ def session_recency(spark: SparkSession, folder: str) -> DataFrame:
     return ranked.select("session_key", "ended_at")
 
 
+def session_order(spark: SparkSession, folder: str) -> DataFrame:
+    """session_recency gives the first 50; this gives every session its position. Sessions are numbered within a day of their ends."""
+    sessions = _sessions(spark, folder).withColumn("day", F.to_date("ended_ts"))
+    days = sessions.groupBy("day").agg(F.count("*").alias("n"))
+    later = Window.orderBy(F.col("day").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    before = days.select(F.col("day").alias("d"), F.coalesce(F.sum("n").over(later), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("day").orderBy(F.col("ended_ts").desc_nulls_last(), "session_key"))
+    numbered = sessions.withColumn("own", own).join(before, F.col("day").eqNullSafe(F.col("d")))
+    return numbered.select("session_key", "ended_at", (F.col("before") + F.col("own")).cast("long").alias("position"))
+
+
 def session_keys(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", session_key(F.concat(F.lit("h-"), F.col("lang")), F.concat(F.lit("/x/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))).alias("session_key"))
 
@@ -268,7 +279,7 @@ QUERIES: dict[str, Query] = {
     "trace_spans": trace_spans, "trace_turns": trace_turns, "trace_export": trace_export, "span_end_times": span_end_times, "command_kinds": command_kinds, "command_read_paths": command_read_paths, "action_for": action_for,
     "extract_paths": extract_paths_query, "extract_paths_whole": extract_paths_whole, "path_line_hits": path_line_hits, "patch_files": patch_files, "normalize_paths": normalize_paths, "target_merge": target_merge, "truncated_notes": truncated_notes,
     "content_to_string": content_to_string, "injected_messages": injected_messages, "pair_latest": pair_latest_query, "pair_first": pair_first_query, "mark_seq": mark_seq, "mark_ride": mark_ride,
-    "session_meta": session_meta, "session_filter": session_filter, "session_recency": session_recency, "session_keys": session_keys, "user_messages": user_messages, "strict_times": strict_times,
+    "session_meta": session_meta, "session_filter": session_filter, "session_recency": session_recency, "session_order": session_order, "session_keys": session_keys, "user_messages": user_messages, "strict_times": strict_times,
     "idle_sessions": idle_sessions, "session_gaps": session_gaps, "agent_children": agent_children, "agent_depths": agent_depths, "watermarks": watermarks, "output_failed": output_failed, "classified_targets": classified_targets,
 }
 

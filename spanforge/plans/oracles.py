@@ -187,6 +187,9 @@ SQL: dict[str, str] = {
                bool_or(event_type = 'error') AS is_sidechain, count(*) AS n_lines FROM events GROUP BY user_id""",
     "session_filter": _SESSIONS + "SELECT session_key, cwd, ts AS started_at FROM s WHERE starts_with(cwd, '/home/joe/') AND o_orderkey % 11 <> 0 AND date_trunc('second', o_orderdate) >= TIMESTAMP '1995-01-01'",
     "session_recency": _SESSIONS + "SELECT session_key, ts AS ended_at FROM s WHERE o_orderkey % 13 <> 0 ORDER BY date_trunc('second', o_orderdate) DESC, session_key LIMIT 50",
+    "session_order": _SESSIONS + """
+        SELECT session_key, CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE ts END AS ended_at,
+               row_number() OVER (ORDER BY CASE WHEN o_orderkey % 13 <> 0 THEN date_trunc('second', o_orderdate) END DESC NULLS LAST, session_key) AS position FROM s""",
     "session_keys": "SELECT doc_id, 'h-' || lang || '-' || substr(sha256('h-' || lang || chr(0) || '/x/' || source || '/' || doc_id), 1, 24) AS session_key FROM documents",
     "user_messages": "SELECT conv_id, turn, length(text) AS n_chars FROM conversations WHERE role = 'user'",
     "strict_times": "SELECT event_id, CASE WHEN event_id % 4 > 1 THEN epoch_us(ts) - 3600000000 ELSE -1 END AS us FROM events",
