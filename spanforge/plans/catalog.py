@@ -166,6 +166,15 @@ def mark_ride(spark: SparkSession, folder: str) -> DataFrame:
     return ride(mark_positions(marks, events), some).select("session_key", "event_id", "seq", F.coalesce("event_seq", F.lit(-1)).alias("event_seq"))
 
 
+def mark_ride_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """mark_ride offers every third event; this offers all, and, for gaps, those of one type."""
+    marks, events = _marks_and_events(spark, folder)
+    views = events.join(table(spark, folder, "events").where(F.col("event_type") == "view").select(F.col("event_id").alias("e")), "e", "left_semi")
+    placed = mark_positions(marks, events)
+    both = ride(ride(placed, events).withColumnRenamed("event_seq", "any_seq"), views)
+    return both.select("session_key", "event_id", "seq", F.coalesce("any_seq", F.lit(-1)).alias("event_seq"), F.coalesce("event_seq", F.lit(-1)).alias("view_seq"))
+
+
 def session_meta(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "events")
     order = F.struct(instant(F.col("ts")), "event_id")
@@ -278,7 +287,7 @@ def classified_targets(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "trace_spans": trace_spans, "trace_turns": trace_turns, "trace_export": trace_export, "span_end_times": span_end_times, "command_kinds": command_kinds, "command_read_paths": command_read_paths, "action_for": action_for,
     "extract_paths": extract_paths_query, "extract_paths_whole": extract_paths_whole, "path_line_hits": path_line_hits, "patch_files": patch_files, "normalize_paths": normalize_paths, "target_merge": target_merge, "truncated_notes": truncated_notes,
-    "content_to_string": content_to_string, "injected_messages": injected_messages, "pair_latest": pair_latest_query, "pair_first": pair_first_query, "mark_seq": mark_seq, "mark_ride": mark_ride,
+    "content_to_string": content_to_string, "injected_messages": injected_messages, "pair_latest": pair_latest_query, "pair_first": pair_first_query, "mark_seq": mark_seq, "mark_ride": mark_ride, "mark_ride_whole": mark_ride_whole,
     "session_meta": session_meta, "session_filter": session_filter, "session_recency": session_recency, "session_order": session_order, "session_keys": session_keys, "user_messages": user_messages, "strict_times": strict_times,
     "idle_sessions": idle_sessions, "session_gaps": session_gaps, "agent_children": agent_children, "agent_depths": agent_depths, "watermarks": watermarks, "output_failed": output_failed, "classified_targets": classified_targets,
 }

@@ -182,6 +182,10 @@ SQL: dict[str, str] = {
         FROM calls LEFT JOIN results USING (session_key, call_id)""",
     "mark_seq": _MARKS + "SELECT session_key, event_id, seq FROM marks",
     "mark_ride": _MARKS + "SELECT session_key, event_id, seq, coalesce((SELECT min(ev.seq) FROM ev WHERE ev.session_key = marks.session_key AND ev.seq >= marks.seq AND ev.seq % 3 = 0), -1) AS event_seq FROM marks",
+    "mark_ride_whole": _MARKS + """,
+        views AS (SELECT ev.session_key, ev.seq FROM (SELECT user_id AS session_key, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) - 1 AS seq FROM events WHERE event_type <> 'error') ev WHERE event_type = 'view')
+        SELECT session_key, event_id, seq, coalesce((SELECT min(ev.seq) FROM ev WHERE ev.session_key = marks.session_key AND ev.seq >= marks.seq), -1) AS event_seq,
+               coalesce((SELECT min(views.seq) FROM views WHERE views.session_key = marks.session_key AND views.seq >= marks.seq), -1) AS view_seq FROM marks""",
     "session_meta": """
         SELECT user_id, arg_min('/w/' || event_id, (ts, event_id)) FILTER (WHERE event_type = 'view') AS cwd, coalesce(arg_max('t' || event_id, (ts, event_id)) FILTER (WHERE event_type = 'signup'), 'untitled') AS title,
                bool_or(event_type = 'error') AS is_sidechain, count(*) AS n_lines FROM events GROUP BY user_id""",

@@ -10,7 +10,7 @@ SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="the driver's tables are not here")
 
 
-@pytest.mark.parametrize("name, tables", [("extract_paths_whole", "pages"), ("session_order", "orders")])
+@pytest.mark.parametrize("name, tables", [("extract_paths_whole", "pages"), ("session_order", "orders"), ("mark_ride_whole", "events")])
 def test_whole(spark, name, tables):
     import duckdb
 
