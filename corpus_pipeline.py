@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from spanforge.llm.decontamination import find_leaks
 from spanforge.llm.near_dup import near_duplicates
-from spanforge.llm.pieces import decode_pieces, encode_pieces
+from spanforge.llm.pieces import encode_pieces
 from spanforge.llm.pii import mask_pii
 from spanforge.llm.shared import cut
 from spanforge.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
@@ -52,7 +52,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token_ids, n_tokens, and whether the ids decode to the whole text, for all documents."""
-    both = decode_pieces(encode_pieces(docs.select("doc_id", "text")))
+    both = encode_pieces(docs.select("doc_id", "text"), decoded="decoded")
     return both.select("doc_id", "token_ids", F.coalesce(F.size("token_ids"), F.lit(0)).cast("long").alias("n_tokens"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
 
