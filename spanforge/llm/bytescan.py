@@ -6,7 +6,7 @@ bytes of a whole batch, in pieces of ``PIECE`` bytes, so that memory stays bound
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +106,76 @@ def texts(column: pa.ChunkedArray | pa.Array) -> Iterator[np.ndarray | None]:
             yield data[offsets[k] : offsets[k + 1]] if valid[k] else None
 
 
+def batch_words(column: pa.ChunkedArray | pa.Array, breaks: np.ndarray = SPACE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes of the words of some texts, one text after the other; how many each text has), until all texts of a column are given.
+
+    Texts that lie side by side are hashed together, in pieces of ``PIECE`` bytes; a longer one is taken by itself. Null texts have no words.
+    """
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        if pa.types.is_null(chunk.type):
+            yield np.zeros(0, np.uint64), np.zeros(len(chunk), np.int64)
+            continue
+        chunk = chunk.cast(pa.large_string())
+        offsets = np.frombuffer(chunk.buffers()[1], dtype=np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]
+        data = np.frombuffer(chunk.buffers()[2], dtype=np.uint8) if chunk.buffers()[2] is not None else np.zeros(0, np.uint8)
+        valid = chunk.is_valid().to_numpy(zero_copy_only=False)
+        at = 0
+        while at < len(chunk):
+            stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, "right")) - 1)
+            own = offsets[at : stop + 1] - offsets[at]
+            raw = data[offsets[at] : offsets[stop]]
+            if stop == at + 1:
+                hashes = word_hashes(raw, breaks) if valid[at] else np.zeros(0, np.uint64)
+                yield hashes, np.array([len(hashes)])
+            else:
+                yield _words_of_many(raw, own, valid[at:stop], breaks)
+            at = stop
+
+
+def _words_of_many(raw: np.ndarray, offsets: np.ndarray, valid: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(offsets) - 1
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
+    piece = LOWER[raw]
+    word = ~breaks[piece]
+    first = np.zeros(len(raw) + 1, bool)  # where a text begins
+    first[offsets] = True
+    before = np.concatenate([[False], word[:-1]]) & ~first[:-1]
+    after = np.concatenate([word[1:], [False]]) & ~first[1:]
+    starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
+    lengths = ends - starts
+    powers = _powers(int(lengths.max()))
+    kept = np.flatnonzero(word)
+    edges = np.cumsum(lengths) - lengths
+    terms = (piece[kept].astype(np.uint64) + np.uint64(1)) * powers[np.arange(len(kept)) - np.repeat(edges, lengths)]
+    with np.errstate(over="ignore"):
+        hashes = mix(np.add.reduceat(terms, edges) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    text = np.searchsorted(offsets, starts, "right") - 1
+    if not valid.all():  # what a null text's bytes may hold
+        use = valid[text]
+        hashes, text = hashes[use], text[use]
+    return hashes, np.bincount(text, minlength=n)
+
+
+def runs(values: np.ndarray, counts: np.ndarray, width: int, steps: Iterable[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each run of width values inside one text, in order, and how many runs each text has.
+
+    steps: the places in a run that are hashed; by default all. Values that are hashes of runs themselves need not be taken at every place.
+    """
+    many = np.maximum(counts - width + 1, 0)
+    n = len(values) - width + 1
+    if n <= 0 or not many.any():
+        return np.zeros(0, np.uint64), np.zeros(len(counts), np.int64)
+    with np.errstate(over="ignore"):
+        out = np.full(n, np.uint64(width) * np.uint64(0x9E3779B97F4A7C15), dtype=np.uint64)
+        for k in range(width) if steps is None else steps:
+            out = mix(out * PRIME + values[k : k + n])
+    place = np.arange(len(values)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return out[(place < np.repeat(many, counts))[:n]], many
+
+
 def string_hash(raw: bytes) -> int:
     """The hash that word_hashes gives a single word."""
     out = word_hashes(np.frombuffer(raw, dtype=np.uint8))
