@@ -6,20 +6,21 @@ words, the whole sequence as one; without words, empty, and linked with nothing.
 
 1. One row per document: size, 128-bit digest and registers of its set. Documents of equal sets are one class, and only
    one of each class, the smallest id, goes on ("node").
-2. Nodes that share a band are candidates. In each band's bucket every node is compared with one leader, so a bucket of any size
-   gives a pair per node. Pairs whose estimate lies clearly below the threshold are dropped; the others are verified on
-   the sets of their whole texts.
-3. What one leader leaves open is settled exactly: as long as a bucket holds several components, its nodes outside
-   the largest are compared, by registers, with all of the bucket outside their own component, in blocks; the likely ones
-   are verified, the best of each node first and then ever more, until none is left. Nodes that have come together
-   meanwhile need no comparison, so groups of copies cost little.
+2. Nodes that share a band are candidates. First each node is compared with one other: the least of the leaders (least nodes)
+   of its buckets. Pairs whose estimate lies clearly below the threshold are dropped; the others are verified on
+   the sets of their whole texts, and components are made of the links.
+3. ``ROUNDS`` times, in each bucket that still holds several components, one node of each is compared with one of the largest.
+4. What is left is settled exactly: nodes that such buckets tie together are dealt in blocks, every two of which meet in one
+   task, which estimates all pairs of different components and verifies the likely ones on their sets; of the links that it finds it
+   gives no more than join its own nodes. So groups of copies cost a pair for each node, and only what resembles much without being linked
+   is compared all with all.
 
 Nothing is capped: every pair that shares a band is either linked through others, estimated, or verified. With
 the default bands, a pair at the threshold shares none in about 3 of a million cases.
 
-Defined cases: null and empty texts have no shingles and stay alone; ties go to the smaller id; a repeated id is one
-node but each row is reported; other columns are ignored; an empty table gives an empty result; rows whose id is null are
-reported alone, without a component.
+Defined cases: null and empty texts have no shingles and stay alone; ties go to the smaller id; rows that repeat an id are each
+reported and follow their own text, and where that id leads a class, the links of all its texts join; other columns are ignored; an empty
+table gives an empty result; rows whose id is null are reported alone, without a component.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm.bytescan import mix, shingles, texts, word_hashes
@@ -39,9 +40,10 @@ from spanforge.llm.shared import cut
 WIDTH, PERCENT = 5, 80
 #: How far below the threshold an estimate may lie: about four standard deviations of the estimate at 0.85.
 MARGIN = 0.13
-PROBES, BASES = 256, 2048
-#: Pairs of each probe that are verified in the first round, and how many times more in each later one.
-FIRST, MORE = 32, 16
+#: Rounds in which components of a bucket are compared by one node each.
+ROUNDS = 2
+#: Nodes of a block, pairs of one node that a task verifies, and sets' values that are counted at once.
+BLOCK, DEALT, COLUMNS = 256, 256, 4096
 
 
 def shingle_set(raw: np.ndarray | None, width: int) -> np.ndarray:
@@ -79,24 +81,21 @@ def sketches(df: DataFrame, width: int) -> DataFrame:
 
 
 def _band_rows(nodes: DataFrame) -> DataFrame:
-    """bucket, band, node: a row for each band of each node."""
+    """bucket, node: a row for each band of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 rows = np.frombuffer(b"".join(part.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bands(rows).ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int8), len(rows))), pa.array(np.repeat(part.column("node").to_numpy(), BANDS))],
-                    names=["bucket", "band", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(bands(rows).ravel()), pa.array(np.repeat(part.column("node").to_numpy(), BANDS))], names=["bucket", "node"])
 
-    return nodes.select("node", "regs").mapInArrow(run, "bucket long, band byte, node long")
+    return nodes.select("node", "regs").mapInArrow(run, "bucket long, node long")
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _likely(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """a, b: the pairs whose estimate does not lie clearly below the threshold."""
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("regs").alias("r_a"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("r_b"))
+    side = lambda c: held.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"r_{c}"))
     least = percent / 100 - MARGIN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,12 +106,12 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 good = estimate((a == b).sum(axis=1), part.column("n_a").to_numpy(), part.column("n_b").to_numpy()) >= least
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(good)), part.column("b").filter(pa.array(good))], names=["a", "b"])
 
-    sized = pairs.join(left, "a").join(right, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return sized.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
+    sized = pairs.join(side("b"), "b").join(side("a"), "a").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return sized.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b: the pairs whose sets are similar enough. docs has one text for each node."""
+def _verified(pairs: DataFrame, held: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: the pairs whose sets are similar enough. The texts of b move to those of a, so a node with many partners should be a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, np.zeros(0, np.uint64)
@@ -120,62 +119,94 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 good = []
-                for b, x, y in zip(part.column("b").to_pylist(), texts(part.column("t_a")), texts(part.column("t_b")), strict=True):
-                    if b != last:  # rows come sorted by b
-                        last, own = b, shingle_set(y, width)
-                    good.append(linked(shingle_set(x, width), own, percent))
+                for x, y in zip(texts(part.column("t_a")), texts(part.column("t_b")), strict=True):
+                    if last is None or not np.array_equal(x, last):  # rows come sorted by a
+                        own = shingle_set(x, width)
+                    last = x
+                    good.append(linked(own, shingle_set(y, width), percent))
                 keep = pa.array(good, pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], names=["a", "b"])
 
-    left = docs.select(F.col("node").alias("a"), F.col("text").alias("t_a"))
-    right = docs.select(F.col("node").alias("b"), F.col("text").alias("t_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long")
-
-
-def _open_pairs(members: DataFrame, nodes: DataFrame, found: DataFrame, percent: int, most: int) -> DataFrame:
-    """a, b, more: likely pairs of nodes that share a bucket but not yet a component; the most likely of each probe, and whether it has more.
-
-    In each bucket the nodes outside its largest component are probes; blocks of probes meet blocks of the bucket. A pair
-    that shares several bands is taken up in the first of them only.
-    """
-    placed = members.join(found.withColumnRenamed("component", "c"), "node", "left").select("bucket", "node", F.coalesce("c", "node").alias("c"), "band")
-    counted = placed.groupBy("bucket", "c").agg(F.count("*").alias("k"))
-    mixed = cut(counted.groupBy("bucket").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count("*").alias("parts"), F.sum("k").alias("size")).where(F.col("parts") > 1))
-    main = counted.join(mixed.select("bucket", "main"), ["bucket"]).where(F.col("c") == F.col("main")).select("bucket", F.col("k").alias("main_size"))
-    mixed = cut(mixed.join(main, "bucket").select("bucket", "main", F.ceil(F.col("size") / BASES).alias("blocks"), F.ceil((F.col("size") - F.col("main_size")) / PROBES).alias("chunks")))
-    rows = placed.join(mixed, "bucket").join(nodes.select("node", "n", "regs"), "node")
-    block, chunk = F.pmod(F.xxhash64("node"), F.col("blocks")), F.pmod(F.xxhash64(F.lit(7), F.col("node")), F.col("chunks"))
-    zero = F.lit(0).cast("long")
-    base = rows.select("bucket", "band", "node", "c", "n", "regs", F.lit(False).alias("probe"), block.alias("block"), F.explode(F.sequence(zero, F.col("chunks") - 1)).alias("chunk"))
-    probe = rows.where(F.col("c") != F.col("main")).select("bucket", "band", "node", "c", "n", "regs", F.lit(True).alias("probe"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"), chunk.alias("chunk"))
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / DEALT).alias("parts"))
+    dealt = pairs.join(shares, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    moved = dealt.join(held.select(F.col("node").alias("b"), F.col("text").alias("t_b")), "b")
+    firsts = shares.join(held.select(F.col("node").alias("a"), F.col("text").alias("t_a")), "a")
+    firsts = firsts.select("a", "t_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    return moved.hint("merge").join(firsts, ["a", "part"]).select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long").distinct()
+
+
+def _open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """bucket, node, c: the rows of buckets with nodes of several components."""
+    placed = members.join(found.withColumnRenamed("component", "c"), "node", "left").select("bucket", "node", F.coalesce("c", "node").alias("c"))
+    mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where(F.col("low") != F.col("high")).select("bucket")
+    return placed.join(mixed, "bucket")
+
+
+def _stars(opened: DataFrame) -> DataFrame:
+    """a, b: for each component of each bucket but the largest, its least node and that of the largest; of these pairs one for each node."""
+    each = opened.groupBy("bucket", "c").agg(F.count("*").alias("k"), F.min("node").alias("b"))
+    main = each.groupBy("bucket").agg(F.max(F.struct("k", "c", "b")).alias("m")).select("bucket", F.col("m.c").alias("main"), F.col("m.b").alias("a"))
+    return each.join(main, "bucket").where(F.col("c") != F.col("main")).groupBy("b").agg(F.max(F.struct("k", "a"))["a"].alias("a")).select("a", "b")
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values every two different sets share, counted some values at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    values, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = times[place] > 1
+    owner, place = owner[several], np.unique(place[several], return_inverse=True)[1]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        i, j = np.searchsorted(place, (low, low + COLUMNS))
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[owner[i:j], place[i:j] - low] = 1
+        out += has @ has.T
+    return out
+
+
+def _in_blocks(opened: DataFrame, held: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: links that join all nodes of different components that buckets tie together and that are similar enough."""
+    first = opened.groupBy("bucket").agg(F.min("node").alias("a"))
+    tied = components(opened.join(first, "bucket").select("a", F.col("node").alias("b")).distinct())
+    nodes = opened.select("node", "c").distinct().join(tied.withColumnRenamed("component", "tie"), "node")
+    nodes = cut(nodes)
+    sizes = nodes.groupBy("tie").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = nodes.join(sizes, "tie").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = placed.select("node", "c", "tie", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     least = percent / 100 - MARGIN
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comps, sizes = (table.column(c).to_numpy() for c in ("node", "c", "n"))
+        ids, classes, n = (table.column(c).to_numpy() for c in ("node", "c", "n"))
         regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        is_probe = table.column("probe").to_numpy(zero_copy_only=False)
-        base = np.flatnonzero(~is_probe)
-        a, b, more, scores = [], [], [], []
-        earlier = bands(regs)[:, : table.column("band")[0].as_py()]
-        for p in np.flatnonzero(is_probe):
-            score = estimate((regs[base] == regs[p]).sum(axis=1), sizes[base], np.full(len(base), sizes[p]))
-            fits = 100 * np.minimum(sizes[base], sizes[p]) >= percent * np.maximum(sizes[base], sizes[p])
-            good = np.flatnonzero((comps[base] != comps[p]) & (score >= least) & fits)
-            good = good[~(earlier[base[good]] == earlier[p]).any(axis=1)]
-            more.append(np.full(min(len(good), most), len(good) > most))
-            good = good[np.argsort(-score[good], kind="stable")[:most]]
-            a.append(np.full(len(good), ids[p]))
-            b.append(ids[base[good]])
-            scores.append(score[good])
-        none = np.zeros(0, np.int64)
-        return pa.table({
-            "a": pa.array(np.concatenate([none, *a]), pa.int64()), "b": pa.array(np.concatenate([none, *b]), pa.int64()),
-            "more": pa.array(np.concatenate([none.astype(bool), *more]), pa.bool_()), "score": pa.array(np.concatenate([none.astype(float), *scores]), pa.float64())})
-
-    got = base.unionByName(probe).groupBy("bucket", "block", "chunk").applyInArrow(run, "a long, b long, more boolean, score double")
-    # The most likely of each probe over all its buckets: it has most rows from each of its bands and blocks, at most.
-    ranked = got.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).withColumn("beyond", F.max(F.col("rank")).over(Window.partitionBy("a")) > most)
-    return ranked.where(F.col("rank") <= most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("more") | F.col("beyond")).alias("more"))
+        likely = np.zeros((len(ids), len(ids)), bool)
+        for k in range(len(ids)):
+            likely[k] = (estimate((regs == regs[k]).sum(axis=1), n, np.full(len(n), n[k])) >= least) & (classes != classes[k])
+        use = np.flatnonzero(likely.any(axis=1))
+        if not len(use):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        raw = [x for k, x in enumerate(texts(table.column("text"))) if likely[k].any()]
+        size = n[use].astype(float)
+        shared = shared_counts([shingle_set(x, width) for x in raw])
+        x, y = np.nonzero(np.triu(likely[np.ix_(use, use)] & (100 * shared >= percent * (size[:, None] + size - shared)), 1))
+        # Of the links of this block, those that join components not yet joined here.
+        root = {int(c): int(c) for c in classes}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        out = []
+        for i, j in zip(use[x].tolist(), use[y].tolist(), strict=True):
+            p, q = top(int(classes[i])), top(int(classes[j]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((int(ids[i]), int(ids[j])))
+        return pa.table({"a": pa.array([r[0] for r in out], pa.int64()), "b": pa.array([r[1] for r in out], pa.int64())})
+
+    return dealt.join(held.select("node", "n", "regs", "text"), "node").groupBy("tie", "low", "high").applyInArrow(run, "a long, b long")
 
 
 def _merged(found: DataFrame, more: DataFrame) -> DataFrame:
@@ -193,31 +224,29 @@ def link_classes(df: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> t
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
     rows = cut(sketches(docs, width))
     classes = cut(rows.where(F.col("n") > 0).groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n", "regs")).alias("r")).select("f1", "f2", F.col("r.doc_id").alias("node"), "r.n", "r.regs"))
-    nodes = classes.select("node", "n", "regs")
-    banded = _band_rows(nodes)
-    buckets = cut(banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where(F.col("size") > 1))
-    members = cut(banded.join(buckets, "bucket"))
-    pairs = members.where(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    likely = cut(_likely(pairs, nodes, percent))
-    # One text for each node: a repeated id has the text that sorts first.
-    ids = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
-    own = docs.select(F.col("doc_id").alias("node"), "text")
-    links = cut(_verified(likely, own.join(ids, "node", "left_semi"), width, percent).distinct())
-    found = cut(components(links))
-    larger = members.where(F.col("size") > 2).select("bucket", "band", "node")
-    tried, most = likely, FIRST
-    while True:
-        opened = cut(_open_pairs(larger, nodes, found, percent, most))
-        fresh = cut(opened.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        most *= MORE
-        if fresh.isEmpty():
-            if opened.where("more").isEmpty():
-                break
-            continue
-        more = cut(_verified(fresh, own, width, percent).distinct())
-        tried = tried.union(fresh)
-        if not more.isEmpty():
-            found = cut(_merged(found, more))
+    banded = _band_rows(classes)
+    buckets = banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where(F.col("leader") != F.col("last"))
+    members = cut(banded.join(buckets.select("bucket", "leader"), "bucket"))
+    # The texts of nodes that have candidates, with their sketches.
+    near = classes.select("node", "n", "regs").join(members.select("node").distinct(), "node")
+    held = cut(docs.select(F.col("doc_id").alias("node"), "text").join(near, "node"))
+    tried = cut(_likely(members.where(F.col("node") != F.col("leader")).groupBy(F.col("node").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"), held, percent))
+    found = cut(components(cut(_verified(tried, held, width, percent))))
+    members = members.select("bucket", "node")
+    for _ in range(ROUNDS):
+        pairs = cut(_stars(_open(members, found)).join(tried, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            break
+        likely = cut(_likely(pairs, held, percent))
+        links = cut(_verified(likely, held, width, percent))
+        tried = tried.union(pairs)
+        if not links.isEmpty():
+            found = cut(_merged(found, links))
+    opened = cut(_open(members, found))
+    if not opened.isEmpty():
+        links = cut(_in_blocks(opened, held, width, percent))
+        if not links.isEmpty():
+            found = cut(_merged(found, links))
     merged = classes.join(found, "node", "left").select("f1", "f2", F.col("node").alias("rep"), F.coalesce("component", "node").alias("component"))
     return rows, cut(merged)
 
