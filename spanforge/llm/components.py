@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.shared import cut
+from spanforge.llm.shared import cut, packed
 
 ROUNDS = 60
 
@@ -26,16 +26,18 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     before = _state(edges)
     if not before[0]:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    rows = 2 * before[0]  # of every table below, at most
+    edges = packed(edges, rows)
     for _ in range(ROUNDS):
         # Large star: every larger neighbour of a node is linked with the least in its neighbourhood.
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = cut(large.where(F.col("a") != F.col("b")).distinct())
+        least = packed(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), rows)
+        large = packed(both.where(F.col("b") > F.col("a")).join(least, "a"), rows).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = packed(cut(packed(large.where(F.col("a") != F.col("b")).distinct(), rows)), rows)
         # Small star: a node and its smaller neighbours are linked with the least of these.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        edges = cut(small.where(F.col("a") != F.col("b")).distinct())
+        least = packed(large.groupBy("a").agg(F.min("b").alias("m")), rows)
+        small = packed(large.join(least, "a"), rows).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        edges = packed(cut(packed(small.where(F.col("a") != F.col("b")).distinct(), rows)), rows)
         after = _state(edges)
         if after == before:
             break

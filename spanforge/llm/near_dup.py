@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from spanforge.llm.bytescan import mix, shingles, texts, word_hashes
 from spanforge.llm.components import components
 from spanforge.llm.hyperminhash import BANDS, REGISTERS, bands, estimate, minima, registers
-from spanforge.llm.shared import cut
+from spanforge.llm.shared import cut, cut_small
 
 WIDTH, PERCENT = 5, 80
 #: How far below the threshold an estimate may lie: about four standard deviations of the estimate at 0.85.
@@ -171,7 +171,7 @@ def _in_blocks(opened: DataFrame, held: DataFrame, width: int, percent: int) ->
     first = opened.groupBy("bucket").agg(F.min("node").alias("a"))
     tied = components(opened.join(first, "bucket").select("a", F.col("node").alias("b")).distinct())
     nodes = opened.select("node", "c").distinct().join(tied.withColumnRenamed("component", "tie"), "node")
-    nodes = cut(nodes)
+    nodes = cut_small(nodes)
     sizes = nodes.groupBy("tie").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = nodes.join(sizes, "tie").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = placed.select("node", "c", "tie", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
@@ -212,7 +212,7 @@ def _in_blocks(opened: DataFrame, held: DataFrame, width: int, percent: int) ->
 def _merged(found: DataFrame, more: DataFrame) -> DataFrame:
     """node, component after further links: only the components that these join are looked at again."""
     of = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
-    ends = cut(more.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("c_a", "a").alias("c_a"), F.coalesce("c_b", "b").alias("c_b")))
+    ends = cut_small(more.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("c_a", "a").alias("c_a"), F.coalesce("c_b", "b").alias("c_b")))
     joined = components(ends.select("c_a", "c_b").distinct(), "c_a", "c_b").select(F.col("node").alias("component"), F.col("component").alias("least"))
     fresh = ends.select(F.col("a").alias("node"), F.col("c_a").alias("component")).union(ends.select("b", "c_b")).distinct()
     every = found.union(fresh.join(found, "node", "left_anti"))
@@ -230,23 +230,23 @@ def link_classes(df: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> t
     # The texts of nodes that have candidates, with their sketches.
     near = classes.select("node", "n", "regs").join(members.select("node").distinct(), "node")
     held = cut(docs.select(F.col("doc_id").alias("node"), "text").join(near, "node"))
-    tried = cut(_likely(members.where(F.col("node") != F.col("leader")).groupBy(F.col("node").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"), held, percent))
-    found = cut(components(cut(_verified(tried, held, width, percent))))
+    tried = cut_small(_likely(members.where(F.col("node") != F.col("leader")).groupBy(F.col("node").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"), held, percent))
+    found = cut_small(components(cut_small(_verified(tried, held, width, percent))))
     members = members.select("bucket", "node")
     for _ in range(ROUNDS):
-        pairs = cut(_stars(_open(members, found)).join(tried, ["a", "b"], "left_anti"))
+        pairs = cut_small(_stars(_open(members, found)).join(tried, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             break
-        likely = cut(_likely(pairs, held, percent))
-        links = cut(_verified(likely, held, width, percent))
+        likely = cut_small(_likely(pairs, held, percent))
+        links = cut_small(_verified(likely, held, width, percent))
         tried = tried.union(pairs)
         if not links.isEmpty():
-            found = cut(_merged(found, links))
-    opened = cut(_open(members, found))
+            found = cut_small(_merged(found, links))
+    opened = cut_small(_open(members, found))
     if not opened.isEmpty():
-        links = cut(_in_blocks(opened, held, width, percent))
+        links = cut_small(_in_blocks(opened, held, width, percent))
         if not links.isEmpty():
-            found = cut(_merged(found, links))
+            found = cut_small(_merged(found, links))
     merged = classes.join(found, "node", "left").select("f1", "f2", F.col("node").alias("rep"), F.coalesce("component", "node").alias("component"))
     return rows, cut(merged)
 

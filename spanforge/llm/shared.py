@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -16,3 +17,18 @@ def cut(df: DataFrame) -> DataFrame:
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spanforge-checkpoint-"))
     return df.checkpoint()
+
+
+#: Rows of a table of ids that one task takes.
+ROWS = 200_000
+
+
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """df in as many partitions as so many narrow rows need, at most: small tables don't make a file for each of all shuffle partitions."""
+    return df.coalesce(max(1, math.ceil(rows / ROWS)))
+
+
+def cut_small(df: DataFrame) -> DataFrame:
+    """df, a table of narrow rows, cut and packed."""
+    df = cut(df)
+    return packed(df, df.count())
