@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "spanf
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("SPANFORGE_DRIVER_MEMORY", "12g"))
+        .config("spark.checkpoint.dir", os.environ.get("SPANFORGE_CHECKPOINTS") or tempfile.mkdtemp(prefix="spanforge-checkpoints-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -25,3 +27,17 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "spanf
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of a folder of parquet tables; Spark's reader only, so any store works."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written once to the folder that the session names in spark.checkpoint.dir, and read from there.
+
+    A session that names none gets a folder of this machine if it runs on this machine alone; on a cluster that is an error,
+    as a folder of one machine goes with it.
+    """
+    context = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spanforge-checkpoints-"))
+    return df.checkpoint()
