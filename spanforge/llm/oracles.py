@@ -129,3 +129,24 @@ roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
 SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, coalesce(r.root, c.rep, d.doc_id) AS component_id, coalesce(r.root, c.rep, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN sizes z USING (doc_id) LEFT JOIN classes c USING (doc_id) LEFT JOIN roots r ON r.node = c.rep
 """
+
+#: Jump consistent hashing with 24 and 25 shards: each step is a row, the last below the number of shards counts. Checksums go byte by byte through a table made by rule.
+SHARDS = """
+WITH RECURSIVE crc_table AS (
+    SELECT list(list_reduce(range(8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, n::BIGINT) ORDER BY n) AS steps FROM range(256) AS t(n)
+), bytes AS (
+    SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size,
+        xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT), lambda c, b: xor(c // 256, steps[(xor(c, b) % 256) + 1]), 4294967295), 4294967295) AS text_crc32
+    FROM documents, crc_table
+), jumps(doc_id, state, shard, ahead, step) AS (
+    SELECT DISTINCT doc_id, CASE WHEN doc_id < 0 THEN doc_id::HUGEINT + 18446744073709551616 ELSE coalesce(doc_id, 0)::HUGEINT END::UHUGEINT, -1::BIGINT, 0::BIGINT, 0 FROM documents
+    UNION ALL
+    SELECT doc_id, state, ahead, floor((ahead + 1) * (2147483648.0::DOUBLE / ((state // 8589934592)::DOUBLE + 1)))::BIGINT, step + 1
+    FROM (SELECT doc_id, (state * 2862933555777941757::UHUGEINT + 1) % 18446744073709551616::UHUGEINT AS state, ahead, step FROM jumps WHERE ahead < 25)
+), placed AS (
+    SELECT doc_id, max(shard) FILTER (shard < 24) AS shard, max(shard) FILTER (shard < 25) AS grown_shard FROM jumps GROUP BY doc_id
+)
+SELECT b.doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
+    row_number() OVER (PARTITION BY shard ORDER BY b.doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard::INTEGER AS grown_shard
+FROM bytes b JOIN placed p ON b.doc_id IS NOT DISTINCT FROM p.doc_id
+"""

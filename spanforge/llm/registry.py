@@ -17,6 +17,7 @@ from spanforge.llm.pieces import piece_report
 from spanforge.llm.pii import pii_report
 from spanforge.llm.resampling import resample
 from spanforge.llm.secrets import secret_report
+from spanforge.llm.sharding import shard_report
 from spanforge.llm.topk import nearest
 from spanforge.llm.toxicity import toxicity_report
 from spanforge.session import table
@@ -62,6 +63,10 @@ def op10_html(spark: SparkSession, folder: str) -> DataFrame:
     return page_report(table(spark, folder, "pages"))
 
 
+def op11_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return shard_report(table(spark, folder, "documents"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The whole pipeline; token ids as a string, which compares by value everywhere."""
     got = corpus_pipeline.run(spark, folder)
@@ -69,8 +74,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_pieces": op2_pieces, "op3_minhash": op3_minhash, "op4_topk": op4_topk, "op5_toxicity": op5_toxicity, "op6_passages": op6_passages, "op7_secrets": op7_secrets, "op8_decontamination": op8_decontamination, "op9_resampling": op9_resampling, "op10_html": op10_html, "pipeline": pipeline}
+    return {"op1_pii": op1_pii, "op2_pieces": op2_pieces, "op3_minhash": op3_minhash, "op4_topk": op4_topk, "op5_toxicity": op5_toxicity, "op6_passages": op6_passages, "op7_secrets": op7_secrets, "op8_decontamination": op8_decontamination, "op9_resampling": op9_resampling, "op10_html": op10_html, "op11_sharding": op11_sharding, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pii": oracles.PII, "op3_minhash": oracles.NEAR, "op4_topk": oracles.TOPK, "op8_decontamination": oracles.LEAKS}
+    return {"op1_pii": oracles.PII, "op3_minhash": oracles.NEAR, "op4_topk": oracles.TOPK, "op8_decontamination": oracles.LEAKS, "op11_sharding": oracles.SHARDS}
