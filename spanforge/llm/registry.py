@@ -20,6 +20,7 @@ from spanforge.llm.secrets import secret_report
 from spanforge.llm.sharding import shard_report
 from spanforge.llm.topk import nearest
 from spanforge.llm.toxicity import toxicity_report
+from spanforge.llm.whitening import whitening_report
 from spanforge.session import table
 
 
@@ -67,6 +68,10 @@ def op11_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_report(table(spark, folder, "documents"))
 
 
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening_report(table(spark, folder, "embeddings"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The whole pipeline; token ids as a string, which compares by value everywhere."""
     got = corpus_pipeline.run(spark, folder)
@@ -74,7 +79,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_pieces": op2_pieces, "op3_minhash": op3_minhash, "op4_topk": op4_topk, "op5_toxicity": op5_toxicity, "op6_passages": op6_passages, "op7_secrets": op7_secrets, "op8_decontamination": op8_decontamination, "op9_resampling": op9_resampling, "op10_html": op10_html, "op11_sharding": op11_sharding, "pipeline": pipeline}
+    return {"op1_pii": op1_pii, "op2_pieces": op2_pieces, "op3_minhash": op3_minhash, "op4_topk": op4_topk, "op5_toxicity": op5_toxicity, "op6_passages": op6_passages, "op7_secrets": op7_secrets, "op8_decontamination": op8_decontamination, "op9_resampling": op9_resampling, "op10_html": op10_html, "op11_sharding": op11_sharding, "op13_whitening": op13_whitening, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
