@@ -150,3 +150,36 @@ SELECT b.doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
     row_number() OVER (PARTITION BY shard ORDER BY b.doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard::INTEGER AS grown_shard
 FROM bytes b JOIN placed p ON b.doc_id IS NOT DISTINCT FROM p.doc_id
 """
+
+#: Every two equal words of a document at a distance of a fourth of it at most; stretches of them with one distance are runs.
+RUNS = r"""
+WITH crc_table AS (
+    SELECT list(list_reduce(range(8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, n::BIGINT) ORDER BY n) AS steps FROM range(256) AS t(n)
+), hashed AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+        xor(list_reduce(list_transform(regexp_extract_all(doc_id::VARCHAR, '.'), lambda c: ascii(c)::BIGINT), lambda c, b: xor(c // 256, steps[(xor(c, b) % 256) + 1]), 4294967295), 4294967295) AS h
+    FROM documents, crc_table
+), tails AS (
+    SELECT *, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM hashed
+), periods AS (
+    SELECT *, 1 + (len(w) - a) // (3 + (h // 10) % 8) AS p FROM tails
+), texts AS MATERIALIZED (
+    SELECT doc_id, len(w) AS n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(len(w)), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) END AS w FROM periods
+), places AS MATERIALIZED (
+    SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM texts
+), same AS (
+    SELECT x.doc_id, x.i, y.i - x.i AS q FROM places x JOIN places y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), stretches AS (
+    SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same) GROUP BY doc_id, q, island
+), runs AS MATERIALIZED (
+    SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length
+), best AS (
+    SELECT doc_id, count(*) AS n_runs, min(struct_pack(a := -length, b := start, c := period)) AS top, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM runs GROUP BY doc_id
+), kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS body FROM places
+    WHERE (doc_id, i) NOT IN (SELECT doc_id, unnest(range(start + period, start + length)) FROM runs) GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, top.b AS start, -top.a AS length, top.c AS period, (1000 * -top.a) // top.c AS exponent_milli,
+    sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+FROM texts t LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

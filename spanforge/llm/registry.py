@@ -13,6 +13,7 @@ from spanforge.llm.decontamination import leak_report
 from spanforge.llm.html_blocks import page_report
 from spanforge.llm.near_dup import near_duplicates
 from spanforge.llm.passages import passage_report
+from spanforge.llm.periodic import run_report
 from spanforge.llm.pieces import piece_report
 from spanforge.llm.pii import pii_report
 from spanforge.llm.resampling import resample
@@ -68,6 +69,10 @@ def op11_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_report(table(spark, folder, "documents"))
 
 
+def op12_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return run_report(table(spark, folder, "documents"))
+
+
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening_report(table(spark, folder, "embeddings"))
 
@@ -79,8 +84,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_pieces": op2_pieces, "op3_minhash": op3_minhash, "op4_topk": op4_topk, "op5_toxicity": op5_toxicity, "op6_passages": op6_passages, "op7_secrets": op7_secrets, "op8_decontamination": op8_decontamination, "op9_resampling": op9_resampling, "op10_html": op10_html, "op11_sharding": op11_sharding, "op13_whitening": op13_whitening, "pipeline": pipeline}
+    return {"op1_pii": op1_pii, "op2_pieces": op2_pieces, "op3_minhash": op3_minhash, "op4_topk": op4_topk, "op5_toxicity": op5_toxicity, "op6_passages": op6_passages, "op7_secrets": op7_secrets, "op8_decontamination": op8_decontamination, "op9_resampling": op9_resampling, "op10_html": op10_html, "op11_sharding": op11_sharding, "op12_runs": op12_runs, "op13_whitening": op13_whitening, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pii": oracles.PII, "op3_minhash": oracles.NEAR, "op4_topk": oracles.TOPK, "op8_decontamination": oracles.LEAKS, "op11_sharding": oracles.SHARDS}
+    return {"op1_pii": oracles.PII, "op3_minhash": oracles.NEAR, "op4_topk": oracles.TOPK, "op8_decontamination": oracles.LEAKS, "op11_sharding": oracles.SHARDS, "op12_runs": oracles.RUNS}

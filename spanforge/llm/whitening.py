@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -284,12 +285,12 @@ def whiten(df: DataFrame, model: Whitening, vector: str = "embedding", out: str
     """df with the whitened vector, array<double>; null for rows that take no part. No shuffle; the model goes with the task."""
 
     @F.pandas_udf("array<double>")
-    def project(values):
+    def project(values: pd.Series) -> pd.Series:
         rows, _, entries = vectors(pa.array(values, pa.list_(pa.float64())), model.size)
         found: list[list[float] | None] = [None] * len(values)
         for r, w in zip(rows.tolist(), model.project(entries.reshape(-1, model.size) - model.middle).tolist(), strict=True):
             found[r] = w
-        return type(values)(found, dtype=object)
+        return pd.Series(found, dtype=object)
 
     return df.withColumn(out, project(F.col(f"`{vector}`").cast("array<double>")))
 

