@@ -11,19 +11,27 @@ from spanforge.functions.text import is_kind, string_at, trim_space, value_at
 
 
 def json_lines(spark: SparkSession, folder: str, pattern: str = "*.jsonl", complete: bool = False) -> DataFrame:
-    """All non-empty lines of the files below a folder, without line ends; a last line that isn't ended counts, unless
-    only complete lines are wanted. end_offset is the byte after each line. A file is read whole by one task.
+    """path, line_no, line, end_offset: all non-empty lines of the files below a folder, without line ends; a last line that
+    isn't ended counts, unless only complete lines are wanted. line_no counts from 0, empty lines too; end_offset is the byte after a line.
+
+    Spark's reader cuts files into byte ranges (spark.sql.files.maxPartitionBytes), so one large file takes all cores. A line belongs
+    to the range it begins in. Lines are numbered inside their range as they are read, and a range's first number and first byte
+    are the sums of the counts of the ranges before it, one row for each range: lines are not shuffled to be numbered. Their
+    bytes are summed by range, which takes a shuffle, only where end_offset is used.
     """
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder, wholetext=True)
-    rows = files.select(F.col("_metadata.file_path").alias("url"), F.split("value", "\n").alias("parts"))
+    # Carriage returns stay in the line until its bytes are counted.
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n").text(folder)
+    rows = read.select(F.col("_metadata.file_path").alias("url"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("file_size"), "value", F.monotonically_increasing_id().alias("at"))
+    size = F.octet_length("value") + 1
+    before = Window.partitionBy("url").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("url", "block").agg(F.min("at").alias("first"), F.count("*").alias("lines"), F.sum(size).alias("bytes"))
+    ranges = ranges.select("url", "block", "first", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("lines", "bytes")))
+    so_far = Window.partitionBy("url", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.join(ranges, ["url", "block"]).withColumn("end_offset", F.col("bytes_before") + F.sum(size).over(so_far))
     if complete:
-        rows = rows.withColumn("parts", F.slice("parts", F.lit(1), F.size("parts") - 1))
-    # The running length of all lines so far; an array of as many numbers as lines, in the row of the file.
-    sized = rows.withColumn("line", F.explode(F.arrays_zip(F.col("parts").alias("text"), F.sequence(F.lit(0), F.greatest(F.size("parts") - 1, F.lit(0))).alias("no")))).select("url", "line.*")
-    w = Window.partitionBy("url").orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sized = sized.withColumn("end_offset", F.sum(F.octet_length("text") + 1).over(w))
+        placed = placed.where(F.col("end_offset") <= F.col("file_size"))
     path = F.regexp_replace(F.url_decode(F.replace("url", F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
-    out = sized.select(path.alias("path"), F.col("no").cast("long").alias("line_no"), F.regexp_replace("text", r"\r+\z", "").alias("line"), "end_offset")
+    out = placed.select(path.alias("path"), (F.col("at") - F.col("first") + F.col("lines_before")).alias("line_no"), F.regexp_replace("value", r"\r+\z", "").alias("line"), "end_offset")
     return out.where(F.col("line") != "")
 
 

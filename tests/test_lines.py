@@ -1,0 +1,55 @@
+"""Lines of files that are cut into ranges, compared with reading them whole."""
+
+import random
+
+import pytest
+
+from spanforge.sources.lines import json_lines
+
+
+def whole(path, complete):
+    raw = path.read_bytes()
+    out, at = [], 0
+    for no, part in enumerate(raw.split(b"\n")):
+        ended = at + len(part) < len(raw)
+        at += len(part) + 1
+        if part.rstrip(b"\r") and (ended or not complete):
+            out.append((str(path), no, part.rstrip(b"\r").decode(), at))
+    return out
+
+
+@pytest.fixture()
+def small_ranges(spark):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    spark.conf.set(names[0], "200")
+    spark.conf.set(names[1], "1")
+    yield
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+@pytest.mark.parametrize("complete", [False, True])
+def test_ranges(spark, tmp_path, small_ranges, complete):
+    rng = random.Random(5)
+    files = []
+    for k in range(4):
+        path = tmp_path / f"d {k}" / f"log+{k}.jsonl"
+        path.parent.mkdir()
+        lines = ["é" * rng.choice([0, 0, 1, 5, 30, 700]) + rng.choice(["", "\r"]) for _ in range(rng.choice([1, 60, 200]))]
+        path.write_bytes(("\n".join(lines) + rng.choice(["", "\n", "tail"])).encode())
+        files.append(path)
+    (tmp_path / "empty.jsonl").write_text("")
+    (tmp_path / "other.txt").write_text("no")
+    got = json_lines(spark, str(tmp_path), complete=complete)
+    assert sorted(map(tuple, got.collect())) == sorted(r for p in files for r in whole(p, complete))
+
+
+def test_plan(spark, tmp_path, small_ranges):
+    (tmp_path / "a.jsonl").write_text("\n".join(f'{{"n": {k}}}' for k in range(3000)))
+    got = json_lines(spark, str(tmp_path))
+    assert got.select("path", "line").rdd.getNumPartitions() > 1
+    numbered = got.select("line_no", "line")
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1  # over ranges; the one over lines went with end_offset
+    assert [r["line"] for r in numbered.orderBy("line_no").collect()] == [f'{{"n": {k}}}' for k in range(3000)]
