@@ -158,12 +158,20 @@ def summary_for(tool: Column, v: Column, source: Column, commands: Column, tools
     return F.concat(verb, F.lit(" -> "), n_targets.cast("string"), F.lit(" targets, "), n_outside.cast("string"), F.lit(" outside"), F.when(is_error, " error").otherwise(""))
 
 
-def _with_scripts(calls: DataFrame) -> DataFrame:
-    """Columns __source, __commands, __tools, __patch: what wrapper scripts do; empty for all other rows."""
+def _with_scripts(calls: DataFrame, split: bool) -> DataFrame:
+    """Columns __source, __commands, __tools, __patch: what wrapper scripts do; empty for all other rows.
+
+    split: whether other rows go past Python, which reads calls twice. Without it, Python gets a null for each of them."""
     v = F.col("__v")
     sources = [F.when(F.coalesce(string_at(v, f"$.{k}") != "", F.lit(False)), string_at(v, f"$.{k}")) for k in ("_raw", "code", "script")]
     is_script = F.col("tool").eqNullSafe("exec")
     none = F.array().cast("array<struct<command:string,workdir:string>>")
+    if not split:
+        calls = calls.withColumn("__source", F.when(is_script, F.coalesce(*sources, F.lit("")))).withColumn("__u", unwrapped("__source"))
+        direct = first_string(v, "cmd", "command")
+        one = F.when(is_script & (direct != ""), F.array(F.struct(direct.alias("command"), first_string(v, "workdir").alias("workdir")))).otherwise(none)
+        commands = F.when(F.coalesce("__source", F.lit("")) == "", one).otherwise(F.col("__u.commands"))
+        return calls.select("*", commands.alias("__commands"), F.col("__u.tools").alias("__tools"), F.col("__u.patch").alias("__patch")).withColumn("__source", F.coalesce("__source", F.lit(""))).drop("__u")
     plain = calls.where(~is_script).select("*", F.lit("").alias("__source"), none.alias("__commands"), F.array().cast("array<string>").alias("__tools"), F.lit("").alias("__patch"))
     direct = first_string(v, "cmd", "command")
     one = F.when(direct != "", F.array(F.struct(direct.alias("command"), first_string(v, "workdir").alias("workdir")))).otherwise(none)
@@ -173,15 +181,15 @@ def _with_scripts(calls: DataFrame) -> DataFrame:
     return plain.unionByName(scripts)
 
 
-def build_events(calls: DataFrame, options: ClassifyOptions = ClassifyOptions(), repo_files: DataFrame | None = None, key: Sequence[str] = ("session_key", "seq"), scripts: bool = True) -> DataFrame:
+def build_events(calls: DataFrame, options: ClassifyOptions = ClassifyOptions(), repo_files: DataFrame | None = None, key: Sequence[str] = ("session_key", "seq"), scripts: bool = True, split: bool = True) -> DataFrame:
     """calls with action, targets, outside, result_bytes and summary.
 
     repo_files (cwd, path): if given, weak targets that it lacks go. scripts: whether wrapper scripts may occur; without
-    them the plan is free of Python.
+    them the plan is free of Python. split: False for streams, whose rows must be read once.
     """
     base = calls.withColumn("__v", variant(F.col("input")))
     if scripts:
-        base = _with_scripts(base)
+        base = _with_scripts(base, split)
     else:
         base = base.select("*", F.lit("").alias("__source"), F.array().cast("array<struct<command:string,workdir:string>>").alias("__commands"), F.array().cast("array<string>").alias("__tools"), F.lit("").alias("__patch"))
     v, tool, content, cwd = F.col("__v"), F.col("tool"), F.coalesce("content", F.lit("")), F.coalesce("cwd", F.lit(""))

@@ -18,6 +18,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "spanf
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("SPANFORGE_DRIVER_MEMORY", "12g"))
         .config("spark.checkpoint.dir", os.environ.get("SPANFORGE_CHECKPOINTS") or tempfile.mkdtemp(prefix="spanforge-checkpoints-"))
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

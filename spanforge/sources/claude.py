@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions.paths import base_name
 from spanforge.functions.text import content_text, injected, string_at, trim_space, truncate_runes, value_at, variant
-from spanforge.operators.pairing import pair_latest
+from spanforge.operators.pairing import pair_latest, running_first
 from spanforge.operators.sessions import first_value, last_value, session_key
 from spanforge.sources.lines import content_items, joined_texts, json_lines, text_field, well_typed
 from spanforge.sources.parsed import Parsed
@@ -16,11 +16,11 @@ HARNESS = "claude-code"
 STRINGS = ("type", "timestamp", "sessionId", "agentId", "cwd", "gitBranch", "aiTitle", "subtype")
 
 
-def records(lines: DataFrame) -> DataFrame:
-    """Decoded lines; those that are no records of this log are dropped one by one."""
+def records(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Decoded lines; those that are no records of this log are dropped one by one. keep: further columns of lines to keep."""
     v = F.col("v")
     rows = lines.withColumn("v", variant(F.col("line"))).where(F.coalesce(well_typed(v, STRINGS, ("isSidechain",)), F.lit(False)))
-    rows = rows.select("path", "line_no", "end_offset", *(text_field(v, n).alias(n) for n in STRINGS), F.coalesce(F.try_variant_get(v, "$.isSidechain", "boolean"), F.lit(False)).alias("isSidechain"), value_at(v, "$.message").alias("m"), value_at(v, "$.message").isNotNull().alias("has_message"))
+    rows = rows.select("path", "line_no", "end_offset", *keep, *(text_field(v, n).alias(n) for n in STRINGS), F.coalesce(F.try_variant_get(v, "$.isSidechain", "boolean"), F.lit(False)).alias("isSidechain"), value_at(v, "$.message").alias("m"), value_at(v, "$.message").isNotNull().alias("has_message"))
     rows = rows.withColumn("session_key", session_key(F.lit(HARNESS), F.col("path")))
     content = value_at(F.col("m"), "$.content")
     items = content_items(content)
@@ -47,28 +47,46 @@ def sessions(rows: DataFrame) -> DataFrame:
         F.bool_or("isSidechain").alias("is_sidechain"), F.bool_or("isSidechain").alias("auxiliary"), F.lit("").alias("parent_id"), F.bool_or(recognized()).alias("ok")).where("ok").drop("ok")
 
 
-def parse(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Paired calls (see pair_latest) and marks."""
-    so_far = Window.partitionBy("session_key").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("cwd_now", F.coalesce(F.first(F.when(F.col("cwd") != "", F.col("cwd")), True).over(so_far), F.lit("")))
+def items(rows: DataFrame, *order: Column) -> DataFrame:
+    """What happens in records, row by row, for a batch and for a stream alike: calls, results, and marks.
+
+    rows: decoded records. order: long columns that give a record's place in its session; with the item's place in the record
+    they make pos. kind is 'call', 'result', a mark's type, or 'cwd' for a record of nothing but a working directory. cwd is
+    that of the record alone.
+    """
     rows = rows.where(~((F.col("type") == "ai-title") & (F.col("aiTitle") != "")))
-    item, kind = F.col("x"), string_at(F.col("x"), "$.type")
-    exploded = rows.select("session_key", "line_no", "timestamp", "cwd_now", F.posexplode("items").alias("item_no", "x"))
-    pos = F.col("line_no") * 1_000_000 + F.col("item_no") + 2
-    items = exploded.where(kind.isin("tool_use", "tool_result")).select(
-        "session_key", pos.alias("pos"), F.when(kind == "tool_use", "call").otherwise("result").alias("kind"),
-        F.coalesce(F.when(kind == "tool_use", string_at(item, "$.id")).otherwise(string_at(item, "$.tool_use_id")), F.lit("")).alias("call_id"),
-        F.coalesce(string_at(item, "$.name"), F.lit("")).alias("tool"), F.coalesce(F.to_json(value_at(item, "$.input")), F.lit("{}")).alias("input"), F.col("timestamp").alias("ts"), F.col("cwd_now").alias("cwd"),
-        content_text(value_at(item, "$.content")).alias("content"), F.coalesce(F.try_variant_get(item, "$.is_error", "boolean"), F.lit(False)).alias("is_error"))
-    calls = pair_latest(items)
-    line_pos = F.col("line_no") * 1_000_000
-    compaction = rows.where((F.col("type") == "system") & F.contains(F.lower("subtype"), F.lit("compact"))).select("session_key", line_pos.alias("pos"), F.lit("compaction").alias("type"), F.lit("").alias("note"))
-    kinds = F.transform("items", lambda x: F.when(string_at(x, "$.type").eqNullSafe("tool_result"), "result").when(trim_space(F.coalesce(string_at(x, "$.text"), F.lit(""))) != "", "text"))
+    blank, none = F.lit(""), F.lit(False)
+
+    def rows_of(kind: Column, sub: Column, note: Column = blank, x: Column | None = None) -> Column:
+        called = F.lit(False) if x is None else kind == "call"
+        text = lambda name: blank if x is None else F.coalesce(string_at(x, f"$.{name}"), blank)
+        return F.struct(
+            sub.cast("long").alias("sub"), kind.alias("kind"), F.when(called, text("id")).otherwise(text("tool_use_id")).alias("call_id"), text("name").alias("tool"),
+            (F.lit("{}") if x is None else F.coalesce(F.to_json(value_at(x, "$.input")), F.lit("{}"))).alias("input"), (blank if x is None else content_text(value_at(x, "$.content"))).alias("content"),
+            (none if x is None else F.coalesce(F.try_variant_get(x, "$.is_error", "boolean"), none)).alias("is_error"), note.alias("note"))
+
+    kinds = F.transform("items", lambda x: F.when(string_at(x, "$.type").eqNullSafe("tool_result"), "result").when(trim_space(F.coalesce(string_at(x, "$.text"), blank)) != "", "text"))
     deciding = F.get(F.filter(kinds, lambda k: k.isNotNull()), F.lit(0))
     text = joined_texts(F.col("items"))
-    user = rows.where((F.col("type") == "user") & F.col("readable") & (F.size("items") > 0) & ~deciding.eqNullSafe("result") & ~injected(text)).select("session_key", (line_pos + 1).alias("pos"), F.lit("user-message").alias("type"), truncate_runes(text, 2000, "…").alias("note"))
-    agents = exploded.where((kind == "tool_use") & string_at(item, "$.name").isin("Task", "Agent")).select("session_key", pos.alias("pos"), F.lit("subagent").alias("type"), string_at(item, "$.name").alias("note"))
-    marks = compaction.unionByName(user).unionByName(agents).withColumn("ts", F.lit(""))
+    said = (F.col("type") == "user") & F.col("readable") & (F.size("items") > 0) & ~deciding.eqNullSafe("result") & ~injected(text)
+    compacted = (F.col("type") == "system") & F.contains(F.lower("subtype"), F.lit("compact"))
+    of_record = F.array(
+        F.when(compacted, rows_of(F.lit("compaction"), F.lit(0))), F.when(said, rows_of(F.lit("user-message"), F.lit(1), truncate_runes(text, 2000, "…"))), F.when((F.col("cwd") != "") & (F.size("items") == 0), rows_of(F.lit("cwd"), F.lit(2))))
+    kind = lambda x: string_at(x, "$.type")
+    used = F.filter(F.transform("items", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda y: kind(y["x"]).isin("tool_use", "tool_result"))
+    called = F.transform(used, lambda y: rows_of(F.when(kind(y["x"]) == "tool_use", "call").otherwise("result"), 2 * y["i"] + 3, x=y["x"]))
+    agents = F.transform(F.filter(used, lambda y: (kind(y["x"]) == "tool_use") & string_at(y["x"], "$.name").isin("Task", "Agent")), lambda y: rows_of(F.lit("subagent"), 2 * y["i"] + 2, string_at(y["x"], "$.name")))
+    found = F.filter(F.concat(of_record, called, agents), lambda r: r.isNotNull())
+    places = [c.cast("long").alias(n) for n, c in zip("gab", [*[F.lit(0)] * (3 - len(order)), *order], strict=True)]
+    out = rows.select("session_key", F.col("timestamp").alias("ts"), "cwd", *places, F.explode(found).alias("r"))
+    return out.select("session_key", F.struct("g", "a", "b", F.col("r.sub").alias("c")).alias("pos"), "r.kind", "r.call_id", "r.tool", "r.input", "ts", "cwd", "r.content", "r.is_error", "r.note")
+
+
+def parse(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Paired calls (see pair_latest) and marks."""
+    found = items(rows, F.col("line_no")).withColumn("cwd", F.coalesce(running_first(F.col("cwd")), F.lit("")))
+    calls = pair_latest(found.where(F.col("kind").isin("call", "result")).drop("note"))
+    marks = found.where(~F.col("kind").isin("call", "result", "cwd")).select("session_key", "pos", F.col("kind").alias("type"), "note", F.lit("").alias("ts"))
     return calls, marks
 
 

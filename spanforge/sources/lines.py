@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,21 @@ def json_lines(spark: SparkSession, folder: str, pattern: str = "*.jsonl", compl
     return out.where(F.col("line") != "")
 
 
+def lines_between(path: str, start: int, end: int) -> Iterator[tuple[int, int, bytes]]:
+    """(first byte, byte after, line with its end) of the lines of a local file that begin in [start, end); a last line that isn't ended is left out."""
+    with open(path, "rb") as f:
+        at = start
+        if start:  # to the first line that begins here
+            f.seek(start - 1)
+            at += len(f.readline()) - 1
+        while at < end:
+            raw = f.readline()
+            if not raw.endswith(b"\n"):
+                return
+            yield at, at + len(raw), raw
+            at += len(raw)
+
+
 def exists(folder: str) -> bool:
     """Whether a local folder is there; paths with a scheme are left to Spark."""
     return "://" in folder or os.path.isdir(folder)
