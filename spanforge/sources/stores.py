@@ -18,6 +18,7 @@ from spanforge.sources.parsed import Parsed
 from spanforge.sources.sqlite import read_table
 
 CRUSH, OPENCODE = "crush", "opencode"
+MESSAGE = "id string, session_id string, role string, parts string, model string, created_at long"
 COLUMNS = ("session_key", "session_id", "harness", "path", "cwd", "model", "title", "git_branch", "started_at", "ended_at", "agent_id", "is_sidechain", "auxiliary", "parent_id")
 
 
@@ -50,7 +51,7 @@ def crush_sessions(spark: SparkSession, projects: list[tuple[str, str]], since:
     if since is not None:
         rows = rows.where(F.col("created_at") >= lower_bound(since, 1))
     where = spark.createDataFrame(projects or [("", "")], "db_path string, cwd string").dropDuplicates(["db_path"])
-    rows = rows.join(F.broadcast(where), "db_path")  # one row for each file that the driver has listed
+    rows = rows.join(where, "db_path")
     path = F.concat("db_path", F.lit("/"), "id")
     parent = F.coalesce("parent_session_id", F.lit(""))
     blank = F.lit("")
@@ -65,25 +66,38 @@ def _object_or_raw(text: Column) -> Column:
     return F.when(text == "", "{}").when(is_kind(variant(text), "OBJECT"), text).otherwise(F.to_json(F.struct(text.alias("_raw"))))
 
 
-def crush(spark: SparkSession, projects: list[tuple[str, str]]) -> Parsed:
-    """All sessions of the databases of projects, as (database, working directory)."""
-    sessions = crush_sessions(spark, projects)
-    messages = read_table(spark, [d for d, _ in projects], "messages", "id string, session_id string, role string, parts string, model string, created_at long")
-    messages = messages.withColumn("session_key", session_key(F.lit(CRUSH), F.concat("db_path", F.lit("/"), "session_id"))).withColumn("ts", seconds_text(F.col("created_at")))
-    order = Window.partitionBy("session_key").orderBy("created_at", "row_no")
-    messages = messages.withColumn("no", F.row_number().over(order)).join(sessions.select("session_key", "cwd"), "session_key")
+def crush_items(messages: DataFrame) -> DataFrame:
+    """What happens in messages, row by row, for a batch and for a stream alike; the columns are those of ``claude.items``.
+
+    messages: session_key, role, parts, created_at, row_no, cwd. Messages follow each other by time, those of one second by row."""
     x = F.col("x")
-    parts = messages.select("session_key", "no", "role", "ts", "cwd", F.posexplode(F.try_variant_get(variant(F.col("parts")), "$", "array<variant>")).alias("part_no", "x"))
-    pos, kind = (F.col("no").cast("long") * 1_000_000 + F.col("part_no")).alias("pos"), string_at(x, "$.type")
-    data = value_at(x, "$.data")
-    items = parts.where(kind.isin("tool_call", "tool_result")).select(
-        "session_key", pos, F.when(kind == "tool_call", "call").otherwise("result").alias("kind"), F.when(kind == "tool_call", text_field(data, "id")).otherwise(text_field(data, "tool_call_id")).alias("call_id"),
-        text_field(data, "name").alias("tool"), _object_or_raw(text_field(data, "input")).alias("input"), "ts", "cwd", text_field(data, "content").alias("content"), F.lit(False).alias("is_error"))
+    rows = messages.withColumn("ts", seconds_text(F.col("created_at")))
+    rows = rows.select("session_key", F.coalesce("created_at", F.lit(0)).alias("a"), F.col("row_no").alias("b"), "role", "ts", "cwd", F.posexplode(F.try_variant_get(variant(F.col("parts")), "$", "array<variant>")).alias("part_no", "x"))
+    kind, data = string_at(x, "$.type"), value_at(x, "$.data")
     said = text_field(data, "text")
-    marks = parts.where((kind == "text") & (F.col("role") == "user") & (trim_space(said) != "") & ~injected(said)).select("session_key", pos, "ts", F.lit("user-message").alias("type"), truncate_runes(said, 2000, "…").alias("note"))
-    models = messages.where(F.col("model") != "").groupBy("session_key").agg(F.min_by("model", "no").alias("first_model"))
+    is_mark = F.coalesce((kind == "text") & (F.col("role") == "user") & (trim_space(said) != "") & ~injected(said), F.lit(False))
+    called = kind == "tool_call"
+    return rows.where(kind.isin("tool_call", "tool_result") | is_mark).select(
+        "session_key", F.struct(F.lit(0).cast("long").alias("g"), "a", "b", F.col("part_no").cast("long").alias("c")).alias("pos"), F.when(called, "call").when(kind == "tool_result", "result").otherwise("user-message").alias("kind"),
+        F.when(called, text_field(data, "id")).otherwise(text_field(data, "tool_call_id")).alias("call_id"), text_field(data, "name").alias("tool"), _object_or_raw(text_field(data, "input")).alias("input"), "ts", "cwd", text_field(data, "content").alias("content"),
+        F.lit(False).alias("is_error"), F.when(is_mark, truncate_runes(said, 2000, "…")).otherwise("").alias("note"))
+
+
+def placed_messages(spark: SparkSession, messages: DataFrame, projects: list[tuple[str, str]]) -> DataFrame:
+    """messages with session_key and the working directory of their database."""
+    where = spark.createDataFrame(projects or [("", "")], "db_path string, cwd string").dropDuplicates(["db_path"])
+    return messages.join(where, "db_path").withColumn("session_key", session_key(F.lit(CRUSH), F.concat("db_path", F.lit("/"), "session_id")))
+
+
+def crush(spark: SparkSession, projects: list[tuple[str, str]], since: datetime | None = None) -> Parsed:
+    """All sessions of the databases of projects, as (database, working directory); with since, those created then or later."""
+    sessions = crush_sessions(spark, projects, since)
+    messages = placed_messages(spark, read_table(spark, [d for d, _ in projects], "messages", MESSAGE), projects)
+    items = crush_items(messages)
+    marks = items.where(F.col("kind") == "user-message").select("session_key", "pos", "ts", F.col("kind").alias("type"), "note")
+    models = messages.where(F.col("model") != "").groupBy("session_key").agg(F.min_by("model", F.struct("created_at", "row_no")).alias("first_model"))
     named = sessions.join(models, "session_key", "left").withColumn("model", F.coalesce("first_model", "model")).select(*COLUMNS)
-    return Parsed.of(named, pair_latest(items), marks)
+    return Parsed.of(named, pair_latest(items.where(F.col("kind").isin("call", "result")).drop("note")), marks)
 
 
 def opencode_sessions(spark: SparkSession, database: str, since: datetime | None = None) -> DataFrame:
