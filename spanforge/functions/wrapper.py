@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import dropwhile
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -65,21 +66,17 @@ def arguments(source: str, tool: str) -> list[str]:
 
 
 def static_command(argument: str) -> tuple[str, str] | None:
-    """Command and working directory, if both are plain strings; a second command voids the first, a second directory both."""
-    command, workdir, ambiguous = "", "", False
+    """Command and working directory of one call, where they are plain strings.
+
+    A call names its command once: none, or several, is no command. A directory counts if it is the only one. Empty strings before the first
+    that says something, and strings that can't be read, don't count.
+    """
+    values: dict[str, list[str]] = {"cmd": [], "workdir": []}
     for m in FIELD.finditer(argument):
-        value = _loaded(m[3])
-        if value is None:
-            continue
-        if (m[1] or m[2]) == "cmd":
-            if command:
-                return None
-            command = value
-        elif workdir:
-            workdir, ambiguous = "", True
-        elif not ambiguous:
-            workdir = value
-    return (command, workdir) if command else None
+        if (value := _loaded(m[3])) is not None:
+            values[m[1] or m[2]].append(value)
+    commands, folders = (list(dropwhile(lambda v: not v, found)) for found in values.values())
+    return (commands[0], folders[0] if len(folders) == 1 else "") if len(commands) == 1 else None
 
 
 def unwrap(source: str | None) -> tuple[list[dict], list[str], str]:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from spanforge.functions.paths import path_clean
 from spanforge.functions.text import parse_time
+from spanforge.operators.ranking import ranked
+from spanforge.session import checkpointed
 
 
 def session_key(harness: Column, path: Column) -> Column:
@@ -89,13 +91,57 @@ def children(nodes: DataFrame) -> DataFrame:
     return own.groupBy("parent_id").agg(F.transform(listed, lambda x: x["session_id"]).alias("children"))
 
 
-def depths(nodes: DataFrame, most: int = 64) -> DataFrame:
-    """session_id, root_id, depth of all nodes that roots reach, level by level."""
-    level = nodes.where(F.col("parent_id").isNull()).select("session_id", F.col("session_id").alias("root_id"), F.lit(0).alias("depth"))
-    out, below = level, nodes.where(F.col("parent_id").isNotNull()).select("session_id", "parent_id")
-    for d in range(1, most):
-        level = below.join(level.select(F.col("session_id").alias("parent_id"), "root_id"), "parent_id").select("session_id", "root_id", F.lit(d).alias("depth"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+def lineage(nodes: DataFrame) -> DataFrame:
+    """session_id, root_id, depth, kind: where the parents of each node lead.
+
+    kind is 'root' for nodes under a root (root_id is the root), 'orphan' for those whose line ends at an id that is no node (root_id is that
+    id, depth counts from it), 'cycle' for nodes that are their own ancestors, and 'under cycle' for those that such nodes are ancestors of
+    (root_id is the smallest id of the cycle; no depth). An id that occurs more than once counts once, with its smallest parent.
+
+    By pointer doubling: each round joins what a node's pointer leads to, so a line of n nodes takes log2(n) rounds, each written to the shared
+    folder. A round that ends no line shows that the rest leads into cycles.
+    """
+    own = nodes.groupBy("session_id").agg(F.min("parent_id").alias("parent_id")).select(F.col("session_id").alias("node"), "parent_id")
+    known = own.select(F.col("node").alias("parent_id"), F.lit(True).alias("known"))
+    first = own.join(known, "parent_id", "left")
+    is_root = F.col("parent_id").isNull()
+    # up: where the pointer leads; low: the smallest id it has passed; done: whether that is an end.
+    state = checkpointed(first.select(
+        "node", F.coalesce("parent_id", "node").alias("up"), F.when(is_root, 0).otherwise(1).cast("long").alias("depth"), F.when(is_root, "root").when(F.col("known").isNull(), "orphan").alias("kind"), F.least("node", "parent_id").alias("low")))
+    left, jumped = state.where(F.col("kind").isNull()).count(), 1
+    ended = True
+    while left and (ended or jumped < left):
+        at = state.select(F.col("node").alias("up"), *(F.col(c).alias(f"next_{c}") for c in ("up", "depth", "kind", "low")))
+        open_rows = state.where(F.col("kind").isNull())
+        moved = open_rows.join(at, "up", "left").select(
+            "node", F.coalesce("next_up", "up").alias("up"), (F.col("depth") + F.coalesce("next_depth", F.lit(0))).alias("depth"), F.col("next_kind").alias("kind"), F.least("low", "next_low").alias("low"))
+        state = checkpointed(state.where(F.col("kind").isNotNull()).unionByName(moved))
+        rest = state.where(F.col("kind").isNull()).count()
+        ended, left, jumped = rest < left, rest, jumped * 2
+    # After as many steps as there are nodes left, pointers lead to all nodes of cycles and to no others.
+    loops = state.where(F.col("kind").isNull())
+    on = loops.select(F.col("up").alias("node")).distinct().withColumn("on", F.lit(True))
+    smallest = loops.join(on, "node").select(F.col("node").alias("up"), F.col("low").alias("cycle"))
+    named = loops.join(on, "node", "left").join(smallest, "up").select("node", F.col("cycle").alias("up"), F.lit(None).cast("long").alias("depth"), F.when(F.col("on"), "cycle").otherwise("under cycle").alias("kind"))
+    out = state.where(F.col("kind").isNotNull()).select("node", "up", "depth", "kind").unionByName(named)
+    return out.select(F.col("node").alias("session_id"), F.col("up").alias("root_id"), F.col("depth"), "kind")
+
+
+def depths(nodes: DataFrame) -> DataFrame:
+    """session_id, root_id, depth of all nodes that roots reach, however deep."""
+    return lineage(nodes).where(F.col("kind") == "root").select("session_id", "root_id", F.col("depth").cast("int").alias("depth"))
+
+
+#: The orders in which listings show sessions: by instants and keys; by the text of the end, as logs have it; by end and id.
+RECENCY, TEXT, STORE = "recency", "text", "store"
+
+
+def listing(sessions: DataFrame, order: str = RECENCY) -> DataFrame:
+    """sessions with position, from 0, in the order of a listing: a total order over all rows, ranked by ranges (see ``ranking.ranked``).
+
+    recency: latest end first, unknown ends last, then by key. text: by the text of the end, latest first, then by key. store: latest end first, then the larger id.
+    """
+    end = F.col("ended_ts").desc_nulls_last()
+    by = {RECENCY: [end, F.col("session_key")], TEXT: [F.col("ended_at").desc(), F.col("session_key")], STORE: [end, F.col("session_id").desc()]}[order]
+    narrow = sessions.select("session_key", "session_id", "ended_at", "ended_ts")
+    return sessions.join(ranked(narrow, by, out="position").select("session_key", "position"), "session_key")

@@ -40,10 +40,11 @@ def build_spans(sessions: DataFrame, events: DataFrame, marks: DataFrame) -> Dat
     later spans are its children until the next. Events or marks of unknown sessions are kept out.
     """
     paths = F.array_join(F.transform("targets", lambda t: t["path"]), ",")
-    mark_pos = F.col("mark_pos") if "mark_pos" in marks.columns else F.lit(0)
-    m = marks.select("session_key", F.col("seq").cast("long").alias("seq"), F.lit(0).alias("is_event"), mark_pos.cast("long").alias("input_pos"), "ts", F.col("type"), F.coalesce("note", F.lit("")).alias("note"))
+    mark_pos = F.col("mark_pos") if "mark_pos" in marks.columns else F.lit(0).cast("long")
+    pos_type = marks.select(mark_pos.alias("p")).schema["p"].dataType
+    m = marks.select("session_key", F.col("seq").cast("long").alias("seq"), F.lit(0).alias("is_event"), mark_pos.alias("input_pos"), "ts", F.col("type"), F.coalesce("note", F.lit("")).alias("note"))
     e = events.select(
-        "session_key", F.col("seq").cast("long").alias("seq"), F.lit(1).alias("is_event"), F.lit(0).cast("long").alias("input_pos"), "ts", "tool", "action", F.col("result_bytes").cast("long").alias("result_bytes"),
+        "session_key", F.col("seq").cast("long").alias("seq"), F.lit(1).alias("is_event"), F.lit(None).cast(pos_type).alias("input_pos"), "ts", "tool", "action", F.col("result_bytes").cast("long").alias("result_bytes"),
         F.when(F.size("targets") > 0, paths).alias("targets"), F.when(F.size("outside") > 0, F.size("outside").cast("long")).alias("outside_count"), F.coalesce("is_error", F.lit(False)).alias("is_error"), "summary")
     head = sessions.select("session_key", "session_id", "harness", F.coalesce(parse_time(F.col("started_at")), F.lit(None)).alias("session_start"))
     line = m.unionByName(e, allowMissingColumns=True).join(head, "session_key")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanforge.functions.paths import base_name
 from spanforge.functions.text import content_text, injected, string_at, trim_space, truncate_runes, value_at, variant
 from spanforge.operators.pairing import pair_latest, running_first
-from spanforge.operators.sessions import first_value, last_value, session_key
+from spanforge.operators.sessions import TEXT, first_value, last_value, session_key
 from spanforge.sources.lines import content_items, joined_texts, json_lines, text_field, well_typed
 from spanforge.sources.parsed import Parsed
 
@@ -94,4 +94,4 @@ def read(spark: SparkSession, folder: str) -> Parsed:
     """All sessions below a folder; files named agent-* are parts of others and left out."""
     lines = json_lines(spark, folder).where(~F.startswith(base_name(F.col("path")), F.lit("agent-")))
     rows = records(lines)
-    return Parsed.of(sessions(rows), *parse(rows))
+    return Parsed.of(sessions(rows), *parse(rows), order=TEXT)

@@ -9,7 +9,7 @@ from spanforge.functions.paths import base_name
 from spanforge.functions.text import content_text, injected, is_kind, let, string_at, trim_space, truncate_runes, value_at, variant
 from spanforge.operators.failures import command_output_failed
 from spanforge.operators.pairing import pair_first
-from spanforge.operators.sessions import first_value, last_value, session_key
+from spanforge.operators.sessions import TEXT, first_value, last_value, session_key
 from spanforge.sources.lines import content_items, joined_texts, json_lines, text_field, well_typed
 from spanforge.sources.parsed import Parsed
 
@@ -127,4 +127,4 @@ def parse(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read(spark: SparkSession, folder: str, index: str | None = None, whole: bool = True) -> Parsed:
     """All sessions below a folder; index: a file of titles."""
     rows = records(json_lines(spark, folder))
-    return Parsed.of(sessions(rows, titles(spark, index) if index else None, whole), *parse(rows))
+    return Parsed.of(sessions(rows, titles(spark, index) if index else None, whole), *parse(rows), order=TEXT)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanforge.operators.classify import ClassifyOptions, build_events
 from spanforge.operators.pairing import mark_positions
-from spanforge.operators.sessions import with_times
+from spanforge.operators.sessions import RECENCY, listing, with_times
 from spanforge.operators.trace import build_spans
 
 
@@ -20,15 +20,16 @@ class Parsed:
     sessions: DataFrame
     calls: DataFrame
     marks: DataFrame
+    order: str = RECENCY  # of listings
 
     @classmethod
-    def of(cls, sessions: DataFrame, calls: DataFrame, marks: DataFrame, numbered: bool = False) -> Parsed:
+    def of(cls, sessions: DataFrame, calls: DataFrame, marks: DataFrame, numbered: bool = False, order: str = RECENCY) -> Parsed:
         """Marks without seq are placed among the answered calls by pos. Calls and marks of unknown sessions go."""
         if not numbered:
             answered = calls.where(F.col("open") == 0) if "open" in calls.columns else calls
             marks = mark_positions(marks, answered)
         known = sessions.select("session_key")
-        return cls(with_times(sessions), calls.join(known, "session_key", "left_semi"), marks.join(known, "session_key", "left_semi").withColumn("mark_pos", F.col("pos")))
+        return cls(with_times(sessions), calls.join(known, "session_key", "left_semi"), marks.join(known, "session_key", "left_semi").withColumn("mark_pos", F.col("pos")), order)
 
     def events(self, options: ClassifyOptions = ClassifyOptions(), repo_files: DataFrame | None = None) -> DataFrame:
         return build_events(self.calls, options, repo_files)
@@ -39,3 +40,7 @@ class Parsed:
     def listed(self) -> DataFrame:
         """The sessions that a listing shows: no sub-agents."""
         return self.sessions.where(~F.col("auxiliary"))
+
+    def listing(self) -> DataFrame:
+        """The same, with their position in this source's order."""
+        return listing(self.listed(), self.order)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from spanforge.functions.paths import base_name
 from spanforge.functions.text import WS, injected, string_at, trim_space, truncate_runes, value_at, variant
 from spanforge.operators.pairing import pair_latest
-from spanforge.operators.sessions import first_value, last_value, session_key
+from spanforge.operators.sessions import TEXT, first_value, last_value, session_key
 from spanforge.sources.lines import content_items, joined_texts, json_lines, text_field, well_typed
 from spanforge.sources.parsed import Parsed
 
@@ -106,4 +106,4 @@ def parse(rows: DataFrame, way: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read(spark: SparkSession, folder: str) -> Parsed:
     rows = records(json_lines(spark, folder))
     way = _way(rows)
-    return Parsed.of(sessions(rows, way), *parse(rows, way))
+    return Parsed.of(sessions(rows, way), *parse(rows, way), order=TEXT)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spanforge.functions.paths import base_name
 from spanforge.functions.text import content_text, injected, is_kind, millis_text, seconds_text, string_at, trim_space, truncate_runes, value_at, variant
 from spanforge.operators.pairing import pair_latest
-from spanforge.operators.sessions import session_key
+from spanforge.operators.sessions import STORE, session_key
 from spanforge.sources.lines import text_field
 from spanforge.sources.parsed import Parsed
 from spanforge.sources.sqlite import read_table
@@ -143,4 +143,4 @@ def opencode(spark: SparkSession, database: str) -> Parsed:
         "session_key", "seq", millis_text(F.col("at")).alias("ts"), F.lit("user-message").alias("type"), truncate_runes(F.col("text"), 2000, "…").alias("note"), F.lit(1).alias("second"), F.col("row_no").alias("no"))
     marks = inline.unionByName(users)
     marks = marks.withColumn("pos", F.row_number().over(Window.partitionBy("session_key").orderBy("ts", "second", "no")).cast("long")).drop("second", "no")
-    return Parsed.of(sessions, tools.drop("at"), marks, numbered=True)
+    return Parsed.of(sessions, tools.drop("at"), marks, numbered=True, order=STORE)
