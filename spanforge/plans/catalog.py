@@ -16,7 +16,7 @@ from spanforge.operators.failures import command_output_failed
 from spanforge.operators.pairing import mark_positions, pair_first, pair_latest, ride, safe_watermark
 from spanforge.operators.sessions import agent_nodes, by_recency, children, depths, first_value, idle, last_value, list_filtered, session_key, with_times
 from spanforge.operators.trace import build_spans, end_times, trace_json
-from spanforge.plans import oracles
+from spanforge.plans import logs, oracles
 from spanforge.plans.inputs import COMMANDS, OUTPUTS, PATHS, conversation_sessions, event_items, instant, picked
 from spanforge.session import table
 
@@ -294,8 +294,8 @@ QUERIES: dict[str, Query] = {
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | logs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracles.SQL)
+    return oracles.SQL | logs.SQL

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,15 +32,28 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written once to the folder that the session names in spark.checkpoint.dir, and read from there.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path, below the session's checkpoint folder, which all machines share; without file: if it is one of a mounted file system."""
+    checkpoint_folder(spark)
+    below = spark.sparkContext.getCheckpointDir()
+    return os.path.join(re.sub("^file:/*", "/", below), f"{name}-{uuid.uuid4().hex}")
+
+
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Makes sure that the session names a folder for checkpoints.
 
     A session that names none gets a folder of this machine if it runs on this machine alone; on a cluster that is an error,
     as a folder of one machine goes with it.
     """
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        if not context.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spanforge-checkpoints-"))
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spanforge-checkpoints-"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written once to the folder that the session names in spark.checkpoint.dir, and read from there."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()

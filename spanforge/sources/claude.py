@@ -90,8 +90,8 @@ def parse(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, marks
 
 
-def read(spark: SparkSession, folder: str) -> Parsed:
+def read(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> Parsed:
     """All sessions below a folder; files named agent-* are parts of others and left out."""
-    lines = json_lines(spark, folder).where(~F.startswith(base_name(F.col("path")), F.lit("agent-")))
+    lines = json_lines(spark, folder, pattern).where(~F.startswith(base_name(F.col("path")), F.lit("agent-")))
     rows = records(lines)
     return Parsed.of(sessions(rows), *parse(rows), order=TEXT)

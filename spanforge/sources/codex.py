@@ -124,7 +124,7 @@ def parse(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls_out, marks.unionByName(compacted).unionByName(spawned)
 
 
-def read(spark: SparkSession, folder: str, index: str | None = None, whole: bool = True) -> Parsed:
+def read(spark: SparkSession, folder: str, index: str | None = None, whole: bool = True, pattern: str = "*.jsonl") -> Parsed:
     """All sessions below a folder; index: a file of titles."""
-    rows = records(json_lines(spark, folder))
+    rows = records(json_lines(spark, folder, pattern))
     return Parsed.of(sessions(rows, titles(spark, index) if index else None, whole), *parse(rows), order=TEXT)

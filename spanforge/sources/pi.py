@@ -103,7 +103,7 @@ def parse(rows: DataFrame, way: DataFrame) -> tuple[DataFrame, DataFrame]:
     return paired, marks
 
 
-def read(spark: SparkSession, folder: str) -> Parsed:
-    rows = records(json_lines(spark, folder))
+def read(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> Parsed:
+    rows = records(json_lines(spark, folder, pattern))
     way = _way(rows)
     return Parsed.of(sessions(rows, way), *parse(rows, way), order=TEXT)

@@ -100,8 +100,8 @@ def crush(spark: SparkSession, projects: list[tuple[str, str]], since: datetime
     return Parsed.of(named, pair_latest(items.where(F.col("kind").isin("call", "result")).drop("note")), marks)
 
 
-def opencode_sessions(spark: SparkSession, database: str, since: datetime | None = None) -> DataFrame:
-    rows = read_table(spark, [database], "session", "id string, parent_id string, directory string, title string, model string, time_created long, time_updated long", "time_created")
+def opencode_sessions(spark: SparkSession, database: str | list[str], since: datetime | None = None) -> DataFrame:
+    rows = read_table(spark, [database] if isinstance(database, str) else database, "session", "id string, parent_id string, directory string, title string, model string, time_created long, time_updated long", "time_created")
     if since is not None:
         rows = rows.where(F.col("time_created") >= lower_bound(since, 1000))
     path = F.concat("db_path", F.lit("/"), "id")
@@ -113,13 +113,14 @@ def opencode_sessions(spark: SparkSession, database: str, since: datetime | None
         blank.alias("agent_id"), F.lit(False).alias("is_sidechain"), (parent != "").alias("auxiliary"), parent.alias("parent_id"))
 
 
-def opencode(spark: SparkSession, database: str) -> Parsed:
-    """All sessions of a database. Calls and results share a part; users' messages are placed among events by time."""
-    sessions = opencode_sessions(spark, database)
-    messages = read_table(spark, [database], "message", "id string, session_id string, time_created long, data string")
-    parts = read_table(spark, [database], "part", "id string, message_id string, session_id string, time_created long, data string")
+def opencode(spark: SparkSession, database: str | list[str], since: datetime | None = None) -> Parsed:
+    """All sessions of one database or several; with since, those created then or later. Calls and results share a part; users' messages are placed among events by time."""
+    databases = [database] if isinstance(database, str) else database
+    sessions = opencode_sessions(spark, databases, since)
+    messages = read_table(spark, databases, "message", "id string, session_id string, time_created long, data string")
+    parts = read_table(spark, databases, "part", "id string, message_id string, session_id string, time_created long, data string")
     key = session_key(F.lit(OPENCODE), F.concat("db_path", F.lit("/"), "session_id"))
-    joined = parts.join(messages.select(F.col("id").alias("message_id"), F.col("time_created").alias("message_time")), "message_id").withColumn("session_key", key)
+    joined = parts.join(messages.select("db_path", F.col("id").alias("message_id"), F.col("time_created").alias("message_time")), ["db_path", "message_id"]).withColumn("session_key", key)
     order = Window.partitionBy("session_key").orderBy("message_time", "time_created", "row_no")
     joined = joined.withColumn("no", F.row_number().over(order).cast("long")).withColumn("v", variant(F.col("data"))).withColumn("ts", millis_text(F.col("time_created"))).join(sessions.select("session_key", "cwd"), "session_key")
     v, kind = F.col("v"), string_at(F.col("v"), "$.type")
