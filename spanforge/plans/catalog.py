@@ -18,7 +18,8 @@ from spanforge.operators.sessions import agent_nodes, by_recency, children, dept
 from spanforge.operators.trace import build_spans, end_times, trace_json
 from spanforge.plans import logs, oracles
 from spanforge.plans.inputs import COMMANDS, OUTPUTS, PATHS, conversation_sessions, event_items, instant, picked
-from spanforge.session import table
+from spanforge.session import shared_folder, table
+from spanforge.sinks.traces import read_traces, write_traces
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +43,14 @@ def trace_export(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("session_key", F.get_json_object("json", "$.traceId").alias("trace_id"), F.json_array_length(F.get_json_object("json", "$.spans")).cast("long").alias("n_spans"))
 
 
+def trace_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole JSON of all traces, written to files by the sink and read back."""
+    sessions, events, marks = conversation_sessions(spark, folder)
+    out = shared_folder(spark, "traces")
+    write_traces(trace_json(sessions, build_spans(sessions, events, marks)), out)
+    return read_traces(spark, out).select(F.get_json_object("json", "$.session.key").alias("session_key"), "json")
+
+
 def span_end_times(spark: SparkSession, folder: str) -> DataFrame:
     """Entries of a timeline whose starts are out of order (by event id), and the first that begins later."""
     rows = table(spark, folder, "events").select(F.col("user_id").alias("session_key"), "event_id", (F.timestamp_micros(instant(F.col("ts")) - (F.col("event_id") % 7) * 3_600_000_000)).alias("start_time"))
@@ -285,7 +294,7 @@ def classified_targets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "trace_spans": trace_spans, "trace_turns": trace_turns, "trace_export": trace_export, "span_end_times": span_end_times, "command_kinds": command_kinds, "command_read_paths": command_read_paths, "action_for": action_for,
+    "trace_spans": trace_spans, "trace_turns": trace_turns, "trace_export": trace_export, "trace_files": trace_files, "span_end_times": span_end_times, "command_kinds": command_kinds, "command_read_paths": command_read_paths, "action_for": action_for,
     "extract_paths": extract_paths_query, "extract_paths_whole": extract_paths_whole, "path_line_hits": path_line_hits, "patch_files": patch_files, "normalize_paths": normalize_paths, "target_merge": target_merge, "truncated_notes": truncated_notes,
     "content_to_string": content_to_string, "injected_messages": injected_messages, "pair_latest": pair_latest_query, "pair_first": pair_first_query, "mark_seq": mark_seq, "mark_ride": mark_ride, "mark_ride_whole": mark_ride_whole,
     "session_meta": session_meta, "session_filter": session_filter, "session_recency": session_recency, "session_order": session_order, "session_keys": session_keys, "user_messages": user_messages, "strict_times": strict_times,

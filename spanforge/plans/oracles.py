@@ -51,7 +51,7 @@ final AS (
          0 AS kind, epoch_us(start_time) AS start_us,
          epoch_us(coalesce(CASE WHEN NOT is_event THEN last_child END, next_later, start_time)) AS end_us,
          CASE WHEN is_event AND length(text) % 7 = 0 THEN 2 ELSE 1 END AS status,
-         CASE WHEN is_event AND length(text) % 7 = 0 THEN substr(text, 1, 40) ELSE '' END AS status_msg, is_event
+         CASE WHEN is_event AND length(text) % 7 = 0 THEN substr(text, 1, 40) ELSE '' END AS status_msg, is_event, strlen(text) AS result_bytes
   FROM ended
 )
 """
@@ -127,6 +127,22 @@ SQL: dict[str, str] = {
     "trace_spans": _SPANS + "SELECT session_key, place, trace_id, span_id, parent_span_id, name, kind, start_us, end_us, status, status_msg FROM final",
     "trace_turns": _SPANS + "SELECT session_key, count(*) FILTER (WHERE NOT is_event) AS n_turns, count(*) AS n_spans, count(*) FILTER (WHERE parent_span_id <> '') AS n_children, CAST(count(*) FILTER (WHERE status = 2) AS BIGINT) AS n_errors FROM final GROUP BY session_key",
     "trace_export": "SELECT CAST(conv_id AS VARCHAR) AS session_key, substr(sha256('trace:' || conv_id), 1, 32) AS trace_id, count(*) AS n_spans FROM conversations GROUP BY conv_id",
+    # Whole JSON: fields in their order, empty ones left out, three characters of markup as escapes.
+    "trace_files": _SPANS + """,
+        texts AS (
+          SELECT *, to_json(name) AS name_json, to_json(status_msg) AS msg_json, strftime(make_timestamp(start_us), '%Y-%m-%dT%H:%M:%SZ') AS start_text, strftime(make_timestamp(end_us), '%Y-%m-%dT%H:%M:%SZ') AS end_text FROM final
+        ),
+        lines AS (
+          SELECT session_key, place, trace_id, '{"traceId":"' || trace_id || '","spanId":"' || span_id || '",' || CASE WHEN parent_span_id <> '' THEN '"parentSpanId":"' || parent_span_id || '",' ELSE '' END || '"name":' || name_json
+            || ',"kind":0,"startTime":"' || start_text || '","endTime":"' || end_text || '","attributes":{'
+            || CASE WHEN is_event THEN '"agent.result.bytes":' || result_bytes || ',"agent.session.id":"c' || session_key || '","agent.tool.action":"exec","agent.tool.name":"Bash"'
+               ELSE '"agent.session.harness":"claude-code","agent.session.id":"c' || session_key || '","agent.turn.type":"user-message"' END
+            || '},"status":' || status || CASE WHEN status_msg <> '' THEN ',"statusMsg":' || msg_json ELSE '' END || '}' AS line
+          FROM texts
+        )
+        SELECT session_key, replace(replace(replace('{"traceId":"' || any_value(trace_id) || '","session":{"key":"' || session_key || '","id":"c' || session_key || '","harness":"claude-code","startedAt":"2024-01-01T00:00:00Z"},"spans":['
+            || string_agg(line, ',' ORDER BY place) || ']}', '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026') AS json
+        FROM lines GROUP BY session_key""",
     "span_end_times": """
         WITH r AS (SELECT user_id, event_id, epoch_us(ts) - (event_id % 7) * 3600000000 AS start_us FROM events)
         SELECT a.event_id, a.start_us, coalesce((SELECT arg_min(b.start_us, b.event_id) FROM r b WHERE b.user_id = a.user_id AND b.start_us > a.start_us), -1) AS next_us FROM r a""",
