@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from spanforge.functions.paths import base_name
 from spanforge.functions.text import content_text, injected, string_at, trim_space, truncate_runes, value_at, variant
 from spanforge.operators.pairing import pair_latest, running_first
 from spanforge.operators.sessions import TEXT, first_value, last_value, session_key
-from spanforge.sources.lines import content_items, joined_texts, json_lines, text_field, well_typed
+from spanforge.sources.lines import content_items, files_of, joined_texts, json_lines, text_field, well_typed
 from spanforge.sources.parsed import Parsed
 
 HARNESS = "claude-code"
@@ -90,8 +92,15 @@ def parse(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, marks
 
 
-def read(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> Parsed:
-    """All sessions below a folder; files named agent-* are parts of others and left out."""
-    lines = json_lines(spark, folder, pattern).where(~F.startswith(base_name(F.col("path")), F.lit("agent-")))
+def starts(lines: DataFrame) -> DataFrame:
+    """path, cwd, started_at, as far as these lines tell."""
+    no = F.col("line_no")
+    return records(lines).groupBy("path").agg(first_value(F.col("cwd"), no).alias("cwd"), first_value(F.col("timestamp"), no).alias("started_at"))
+
+
+def read(spark: SparkSession, folder: str, pattern: str = "*.jsonl", cwd: str | None = None, since: datetime | None = None) -> Parsed:
+    """All sessions below a folder, or those that pass; files named agent-* are parts of others and left out."""
+    files = files_of(spark, folder, pattern, starts, cwd, since)
+    lines = json_lines(spark, files, pattern).where(~F.startswith(base_name(F.col("path")), F.lit("agent-")))
     rows = records(lines)
-    return Parsed.of(sessions(rows), *parse(rows), order=TEXT)
+    return Parsed.of(sessions(rows), *parse(rows), order=TEXT).filtered(cwd, since)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from spanforge.functions.text import content_text, injected, is_kind, let, strin
 from spanforge.operators.failures import command_output_failed
 from spanforge.operators.pairing import pair_first
 from spanforge.operators.sessions import TEXT, first_value, last_value, session_key
-from spanforge.sources.lines import content_items, joined_texts, json_lines, text_field, well_typed
+from spanforge.sources.lines import content_items, files_of, joined_texts, json_lines, text_field, well_typed
 from spanforge.sources.parsed import Parsed
 
 HARNESS = "codex"
@@ -124,7 +126,14 @@ def parse(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls_out, marks.unionByName(compacted).unionByName(spawned)
 
 
-def read(spark: SparkSession, folder: str, index: str | None = None, whole: bool = True, pattern: str = "*.jsonl") -> Parsed:
-    """All sessions below a folder; index: a file of titles."""
-    rows = records(json_lines(spark, folder, pattern))
-    return Parsed.of(sessions(rows, titles(spark, index) if index else None, whole), *parse(rows), order=TEXT)
+def starts(lines: DataFrame) -> DataFrame:
+    """path, cwd, started_at, as far as these lines tell."""
+    no = F.col("line_no")
+    cwd = F.when(F.col("readable") & F.col("type").isin("session_meta", "turn_context"), F.col("p_cwd")).otherwise("")
+    return records(lines).groupBy("path").agg(first_value(cwd, no).alias("cwd"), first_value(F.col("timestamp"), no).alias("started_at"))
+
+
+def read(spark: SparkSession, folder: str, index: str | None = None, whole: bool = True, pattern: str = "*.jsonl", cwd: str | None = None, since: datetime | None = None) -> Parsed:
+    """All sessions below a folder, or those that pass; index: a file of titles."""
+    rows = records(json_lines(spark, files_of(spark, folder, pattern, starts, cwd, since), pattern))
+    return Parsed.of(sessions(rows, titles(spark, index) if index else None, whole), *parse(rows), order=TEXT).filtered(cwd, since)

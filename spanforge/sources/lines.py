@@ -3,16 +3,73 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import datetime
+from itertools import accumulate
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanforge.functions.text import is_kind, string_at, trim_space, value_at
+from spanforge.functions.text import is_kind, parse_time, string_at, trim_space, value_at
+from spanforge.operators.sessions import cwd_matches
 
 
-def json_lines(spark: SparkSession, folder: str, pattern: str = "*.jsonl", complete: bool = False) -> DataFrame:
-    """path, line_no, line, end_offset: all non-empty lines of the files below a folder, without line ends; a last line that
+#: What is read of a file to know where and when its session began.
+HEAD_LINES, HEAD_BYTES = 64, 1 << 18
+
+
+def mounted(folder: str) -> bool:
+    """Whether a folder is one of a mounted file system, so that tasks can open its files."""
+    return "://" not in folder or folder.startswith("file://")
+
+
+def local_path(url: Column) -> Column:
+    """The path of a URL of Spark's file readers; those of other stores stay as they are."""
+    return F.regexp_replace(F.url_decode(F.replace(url, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+
+
+def listed_files(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> DataFrame:
+    """path of each file below a folder; none is opened."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder).select(local_path(F.col("path")).alias("path"))
+
+
+def head_lines(files: DataFrame) -> DataFrame:
+    """path, line_no, line, end_offset of the first lines of each file; each task opens its share of files and reads at most HEAD_BYTES of each. A last line that isn't ended is left out."""
+
+    def peek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                with open(path, "rb") as f:
+                    parts = f.read(HEAD_BYTES).split(b"\n")[:-1][:HEAD_LINES]
+                if not parts:
+                    continue
+                ends = list(accumulate(len(p) + 1 for p in parts))
+                yield pd.DataFrame({"path": path, "line_no": range(len(parts)), "line": [p.rstrip(b"\r").decode("utf-8", "replace") for p in parts], "end_offset": ends}, index=range(len(parts)))
+
+    return files.select("path").mapInPandas(peek, "path string, line_no long, line string, end_offset long").where(F.col("line") != "")
+
+
+def files_of(spark: SparkSession, folder: str, pattern: str, starts: Callable[[DataFrame], DataFrame], cwd: str | None, since: datetime | None) -> str | list[str]:
+    """What of a folder can hold sessions in a working directory that began at an instant or later: the folder itself where nothing is asked, or its files can't be opened by tasks.
+
+    starts: from lines to path, cwd, started_at, as the source's sessions have them; null where the lines don't tell. A file is left out only if its head tells that its session doesn't pass.
+    """
+    if (not cwd and since is None) or not mounted(folder):
+        return folder
+    files = listed_files(spark, folder, pattern)
+    known = starts(head_lines(files))
+    passes = F.lit(True)
+    if cwd:
+        passes &= F.coalesce(F.when(F.col("cwd") != "", cwd_matches(F.col("cwd"), cwd)), F.lit(True))
+    if since is not None:
+        passes &= F.when(F.coalesce(F.col("started_at"), F.lit("")) == "", True).otherwise(F.coalesce(parse_time(F.col("started_at")) >= F.lit(since), F.lit(False)))
+    gone = known.where(~passes).select("path")
+    return [r["path"] for r in files.join(gone, "path", "left_anti").collect()]
+
+
+def json_lines(spark: SparkSession, folder: str | list[str], pattern: str = "*.jsonl", complete: bool = False) -> DataFrame:
+    """path, line_no, line, end_offset: all non-empty lines of the files below a folder (or of some files), without line ends; a last line that
     isn't ended counts, unless only complete lines are wanted. line_no counts from 0, empty lines too; end_offset is the byte after a line.
 
     Spark's reader cuts files into byte ranges (spark.sql.files.maxPartitionBytes), so one large file takes all cores. A line belongs
@@ -20,6 +77,8 @@ def json_lines(spark: SparkSession, folder: str, pattern: str = "*.jsonl", compl
     are the sums of the counts of the ranges before it, one row for each range: lines are not shuffled to be numbered. Their
     bytes are summed by range, which takes a shuffle, only where end_offset is used.
     """
+    if not folder:
+        return spark.createDataFrame([], "path string, line_no long, line string, end_offset long")
     # Carriage returns stay in the line until its bytes are counted.
     read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n").text(folder)
     rows = read.select(F.col("_metadata.file_path").alias("url"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("file_size"), "value", F.monotonically_increasing_id().alias("at"))
@@ -31,8 +90,7 @@ def json_lines(spark: SparkSession, folder: str, pattern: str = "*.jsonl", compl
     placed = rows.join(ranges, ["url", "block"]).withColumn("end_offset", F.col("bytes_before") + F.sum(size).over(so_far))
     if complete:
         placed = placed.where(F.col("end_offset") <= F.col("file_size"))
-    path = F.regexp_replace(F.url_decode(F.replace("url", F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
-    out = placed.select(path.alias("path"), (F.col("at") - F.col("first") + F.col("lines_before")).alias("line_no"), F.regexp_replace("value", r"\r+\z", "").alias("line"), "end_offset")
+    out = placed.select(local_path(F.col("url")).alias("path"), (F.col("at") - F.col("first") + F.col("lines_before")).alias("line_no"), F.regexp_replace("value", r"\r+\z", "").alias("line"), "end_offset")
     return out.where(F.col("line") != "")
 
 

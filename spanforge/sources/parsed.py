@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.operators.classify import ClassifyOptions, build_events
 from spanforge.operators.pairing import mark_positions
-from spanforge.operators.sessions import RECENCY, listing, with_times
+from spanforge.operators.sessions import RECENCY, list_filtered, listing, with_times
 from spanforge.operators.trace import build_spans
 
 
@@ -37,6 +38,14 @@ class Parsed:
     def spans(self, options: ClassifyOptions = ClassifyOptions()) -> DataFrame:
         return build_spans(self.sessions, self.events(options), self.marks)
 
+    def filtered(self, cwd: str | None = None, since: datetime | None = None) -> Parsed:
+        """Only the sessions in a working directory, and begun at an instant or later, with what is theirs; the exact test, whatever a source has left out before."""
+        if not cwd and since is None:
+            return self
+        sessions = list_filtered(self.sessions, cwd, since)
+        known = sessions.select("session_key")
+        return Parsed(sessions, self.calls.join(known, "session_key", "left_semi"), self.marks.join(known, "session_key", "left_semi"), self.order)
+
     def listed(self) -> DataFrame:
         """The sessions that a listing shows: no sub-agents."""
         return self.sessions.where(~F.col("auxiliary"))

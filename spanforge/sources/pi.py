@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from spanforge.functions.paths import base_name
 from spanforge.functions.text import WS, injected, string_at, trim_space, truncate_runes, value_at, variant
 from spanforge.operators.pairing import pair_latest
 from spanforge.operators.sessions import TEXT, first_value, last_value, session_key
-from spanforge.sources.lines import content_items, joined_texts, json_lines, text_field, well_typed
+from spanforge.sources.lines import content_items, files_of, joined_texts, json_lines, text_field, well_typed
 from spanforge.sources.parsed import Parsed
 
 HARNESS = "pi"
@@ -103,7 +105,13 @@ def parse(rows: DataFrame, way: DataFrame) -> tuple[DataFrame, DataFrame]:
     return paired, marks
 
 
-def read(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> Parsed:
-    rows = records(json_lines(spark, folder, pattern))
+def starts(lines: DataFrame) -> DataFrame:
+    """path, cwd, started_at, as far as these lines tell: what the header says."""
+    return records(lines).where("is_header").select("path", "cwd", F.col("timestamp").alias("started_at"))
+
+
+def read(spark: SparkSession, folder: str, pattern: str = "*.jsonl", cwd: str | None = None, since: datetime | None = None) -> Parsed:
+    """All sessions below a folder, or those that pass."""
+    rows = records(json_lines(spark, files_of(spark, folder, pattern, starts, cwd, since), pattern))
     way = _way(rows)
-    return Parsed.of(sessions(rows, way), *parse(rows, way), order=TEXT)
+    return Parsed.of(sessions(rows, way), *parse(rows, way), order=TEXT).filtered(cwd, since)

@@ -32,14 +32,23 @@ def _fallback_title(title: Column, cwd: Column, ident: Column, untitled: str = "
     return F.when((title == "") | (title == untitled), short).otherwise(title)
 
 
-def crush_projects(path: str, cwd: str | None = None) -> list[tuple[str, str]]:
-    """(database, project) pairs of a projects file; with cwd, only projects that can hold sessions of it."""
+def _projects(path: str) -> list[tuple[str, str]]:
     try:
         with open(path, encoding="utf-8") as f:
             rows = json.load(f).get("projects") or []
-    except (OSError, ValueError):
+    except (OSError, ValueError, AttributeError):
         return []
-    found = [(os.path.join(r.get("data_dir") or "", "crush.db"), r.get("path") or "") for r in rows if r.get("data_dir")]
+    return [(os.path.join(r.get("data_dir") or "", "crush.db"), r.get("path") or "") for r in rows if r.get("data_dir")]
+
+
+def crush_databases(path: str) -> list[str]:
+    """The databases that a projects file names, whether they are there or not."""
+    return sorted({d for d, _ in _projects(path)})
+
+
+def crush_projects(path: str, cwd: str | None = None) -> list[tuple[str, str]]:
+    """(database, project) pairs of a projects file; with cwd, only projects that can hold sessions of it."""
+    found = _projects(path)
     if cwd:
         root = os.path.normpath(cwd)
         found = [(d, p) for d, p in found if p and (os.path.normpath(p) == root or os.path.normpath(p).startswith(root + "/"))]
