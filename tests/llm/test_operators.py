@@ -218,7 +218,7 @@ def test_html():
     assert html_blocks.main_text(None) == html_blocks.main_text("") == html_blocks.main_text("<p hidden>x</p>") == ""
     assert html_blocks.main_text('<article><p>cut off <a href="x') == "cut off"
     assert html_blocks.main_text("<article><p>a<!-- b --> c &lt;d&gt; &#233;</article>") == "a c <d> é"
-    assert html_blocks.tree().decide((1, 1.0, 1, 1.0, 1, 1.0, 1, 0)) == 0
+    assert html_blocks.tree().decide((1, 1.0, 1, 1.0, 1, 1.0, 0)) == 0
 
 
 def test_html_report(spark):
