@@ -1,13 +1,16 @@
 """Benchmark decontamination: a BM25 index of the test items, queried with every training passage by block-max WAND.
 
 The terms are pairs of neighbouring words (a single word, for items of one word): words are lower-cased runs of letters
-and digits. Document frequencies and lengths are those of the items. A posting's score is divided by the score that
-its item gets for its own text, so one threshold (``LEAST_SCORE``) fits all items. Each document is queried in passages
-that overlap by half and are at least twice as long as the longest item of the index, so any item lies whole
-in some passage. Block-max WAND returns every item at or above the threshold, with no limit on their number.
+and digits. Document frequencies and lengths are those of the items of an index. A document holds an item if it has at least
+``LEAST_OVERLAP`` of the item's five-word shingles. An item's threshold is the least score that such a document can have: the item's own score without the most that
+can be lost with the other shingles (``most_lost``; a pair is lost only with all shingles that hold it). Postings are divided by it, so one threshold, 1, fits all items, and
+whatever frequencies an index has, every item that a document holds is retrieved: results don't depend on how items are spread over indexes.
+
+Each document is queried as a whole; block-max WAND returns every item at or above the threshold, with no limit on their number, and most documents have none.
+Those that have any are queried by passages that overlap by half, at least twice as long as the longest item, for the score of the best one.
 
 What is retrieved is verified: the share of the item's five-word shingles that the document has, for the item as a whole
-(``LEAST_OVERLAP``, which decides), its question (all but the last sentence) and its answer (the last sentence).
+(which decides), its question (all but the last sentence) and its answer (the last sentence).
 
 Items are spread over indexes by length class and size: each has at most ``INDEX_ITEMS`` items and about
 ``INDEX_CHARS`` characters (a single longer item has its own), which bounds what is broadcast; a larger benchmark makes more
@@ -35,7 +38,9 @@ from pyspark.sql import types as T
 from spanforge.llm.bytescan import PRIME, PUNCTUATION, fold_latin, mix, shingles, texts, word_hashes
 
 WIDTH = 5
-LEAST_SCORE, LEAST_OVERLAP = 0.5, 0.8
+LEAST_OVERLAP = 0.8
+#: Scores are sums of doubles; a document at the threshold counts. Items of more shingles have a plainer bound of what can be lost.
+SLACK, LONG = 1e-9, 4000
 K1, B = 1.2, 0.75
 BLOCK = 64
 SHORTEST = 64
@@ -70,6 +75,39 @@ def shingled(words: np.ndarray) -> tuple[np.ndarray, int]:
     return np.unique(shingles(words, WIDTH)), min(WIDTH, len(words))
 
 
+def spare(words: np.ndarray) -> int:
+    """How many places of an item's shingles a document may lack that still has LEAST_OVERLAP of the distinct ones."""
+    _, times = np.unique(shingles(words, WIDTH), return_counts=True)
+    may = len(times) - (8 * len(times) + 9) // 10
+    return int(np.sort(times)[::-1][:may].sum())
+
+
+def most_lost(weights: np.ndarray, n_words: int, lacking: int) -> float:
+    """The most weight of pairs (by place) that a text of so many words can lose if it lacks so many shingles (by place).
+
+    Pair p is lost if every shingle that holds it is lacking: those that begin at p - 3 to p, where there are such. Place by place, best[r, k] is the most that is lost with k
+    lacking so far and the last r of them in a row, 4 standing for more. Before the first place and after the last there is none that could be had.
+    """
+    places = n_words - WIDTH + 1
+    if lacking <= 0 or places < 1:
+        return 0.0
+    if lacking >= places:
+        return float(weights.sum())
+    if places > LONG:
+        return float(np.sort(weights)[::-1][:lacking].sum() + weights[-3:].sum())  # but for the last three, each lost pair has a lacking place of its own
+    full = WIDTH - 1
+    best = np.full((full + 1, lacking + 1), -np.inf)
+    best[full, 0] = 0.0
+    for s in range(places):
+        after = np.full_like(best, -np.inf)
+        after[0] = best.max(axis=0)
+        after[1:full, 1:] = best[: full - 1, :-1]
+        after[full, 1:] = np.maximum(best[full - 1, :-1], best[full, :-1]) + weights[s]
+        best = after
+    ends = np.concatenate([[0.0], np.cumsum(weights[::-1][: full - 1]), [weights[-3:].sum()]])  # what a row of 0 to 4 at the end loses besides
+    return float((best.max(axis=1) + ends).max())
+
+
 @dataclass
 class Postings:
     """The items of one term by number, what each adds, and the most that any of a block of them adds."""
@@ -97,11 +135,14 @@ class Index:
         mean = sum(lengths) / len(lengths) if lengths else 1.0
         seen: Counter[int] = Counter(t for c in own for t in c)
         adds: defaultdict[int, list[tuple[int, float]]] = defaultdict(list)
-        for k, (count, length) in enumerate(zip(own, lengths, strict=True)):
+        self.least = np.zeros(len(kept))  # each item's threshold, as a share of its own score
+        for k, (count, length, (_, w, _)) in enumerate(zip(own, lengths, kept, strict=True)):
             score = {t: math.log(1 + (len(own) - seen[t] + 0.5) / (seen[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * length / mean)) for t, n in count.items()}
             total = sum(score.values())
+            weights = np.array([score[t] / count[t] for t in (terms_of(w) if len(w) > 1 else w).tolist()])
+            self.least[k] = max((total - most_lost(weights, len(w), spare(w))) / total, SLACK)
             for t, s in score.items():
-                adds[t].append((k, s / total))
+                adds[t].append((k, s / total / self.least[k]))
         self.terms = np.array(sorted(adds), np.uint64)
         self.postings = [self._postings(adds[t]) for t in self.terms.tolist()]
         self.tops = np.array([p.top for p in self.postings])
@@ -113,12 +154,12 @@ class Index:
         lasts = items[np.minimum(starts + BLOCK, len(items)) - 1]
         return Postings(items, adds, lasts, np.maximum.reduceat(adds, starts), float(adds.max()))
 
-    def retrieve(self, terms: list[int], least: float = LEAST_SCORE) -> dict[int, float]:
+    def retrieve(self, terms: list[int], least: float = 1.0) -> dict[int, float]:
         """Every item whose score for these terms (by number) is at least the threshold: block-max WAND."""
         lists = [self.postings[t] for t in terms]
         cursors = [[int(p.items[0]), 0, p] for p in lists]  # the current item, its place, the postings
         found: dict[int, float] = {}
-        slack = 1e-9
+        slack = SLACK
         while cursors:
             cursors.sort(key=lambda c: c[0])
             bound, pivot = 0.0, -1
@@ -156,7 +197,7 @@ class Index:
         return found
 
     def candidates(self, words: np.ndarray) -> dict[int, float]:
-        """Every item that some passage of a text retrieves, with its best score."""
+        """Every item that a text retrieves, with the score of its best passage, as a share of the item's own."""
         terms = terms_of(words)
         if self.single:
             terms = np.concatenate([terms, words])  # the pairs, then the words: places are taken from either
@@ -167,18 +208,28 @@ class Index:
         if not len(hit):
             return {}
         number = at[hit]
-        place = hit % max(1, len(words) - 1) if self.single else hit
-        half = self.passage // 2
-        found: dict[int, float] = {}
-        for shift in (0, half):  # two rows of passages, which overlap by half
+        every = np.unique(number)
+        if self.tops[every].sum() < 1 - SLACK:
+            return {}
+        items = self.retrieve(every.tolist())
+        return self._best_passages(items, number, hit % max(1, len(words) - 1) if self.single else hit) if items else {}
+
+    def _best_passages(self, items: dict[int, float], number: np.ndarray, place: np.ndarray) -> dict[int, float]:
+        """Of each of these items, the best score that a passage has, as a share of the item's own."""
+        best = dict.fromkeys(items, 0.0)
+        for shift in (0, self.passage // 2):  # two rows of passages, which overlap by half
             which = (place + shift) // self.passage
             order = np.argsort(which, kind="stable")
             for own in np.split(number[order], np.flatnonzero(np.diff(which[order])) + 1):
-                own = np.unique(own)
-                if self.tops[own].sum() >= LEAST_SCORE:
-                    for item, score in self.retrieve(own.tolist()).items():
-                        found[item] = max(score, found.get(item, 0.0))
-        return found
+                score: Counter[int] = Counter()
+                for p in (self.postings[t] for t in np.unique(own).tolist()):
+                    for item in best:
+                        at = int(np.searchsorted(p.items, item))
+                        if at < len(p.items) and p.items[at] == item:
+                            score[item] += float(p.adds[at]) * float(self.least[item])
+                for item, s in score.items():
+                    best[item] = max(best[item], s)
+        return best
 
     def leaks(self, words: np.ndarray) -> list[tuple[int, float, float, float, float]]:
         """item_id, score, and the overlaps (whole, question, answer) of the items that a text holds."""
