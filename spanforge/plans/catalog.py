@@ -14,7 +14,7 @@ from spanforge.functions.text import content_text, injected, parse_time, truncat
 from spanforge.operators.classify import ClassifyOptions, build_events, merge_targets
 from spanforge.operators.failures import command_output_failed
 from spanforge.operators.pairing import mark_positions, pair_first, pair_latest, ride, safe_watermark
-from spanforge.operators.sessions import agent_nodes, by_recency, children, depths, first_value, idle, last_value, list_filtered, session_key, with_times
+from spanforge.operators.sessions import agent_nodes, children, depths, first_value, idle, last_value, list_filtered, listing, session_key, with_times
 from spanforge.operators.trace import build_spans, end_times, trace_json
 from spanforge.plans import logs, oracles
 from spanforge.plans.inputs import COMMANDS, OUTPUTS, PATHS, conversation_sessions, event_items, instant, picked
@@ -79,14 +79,7 @@ def action_for(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def extract_paths_query(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "pages")
-    text = F.concat(F.lit("see "), F.col("url"), F.lit(" src/main.go:12 and lib/a.py lib/b.py: "), F.left("html", F.lit(4000)))
-    join = lambda c: F.array_join(c, "\n")
-    return pages.select("page_id", join(extract_paths(text)).alias("paths"), join(command_paths(text)).alias("command_paths"))
-
-
-def extract_paths_whole(spark: SparkSession, folder: str) -> DataFrame:
-    """extract_paths reads the first 4,000 characters of a page; this reads all of them."""
+    """The paths in whole pages."""
     pages = table(spark, folder, "pages")
     text = F.concat(F.lit("see "), F.col("url"), F.lit(" src/main.go:12 and lib/a.py lib/b.py: "), F.col("html"))
     join = lambda c: F.array_join(c, "\n")
@@ -170,13 +163,7 @@ def mark_seq(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mark_ride(spark: SparkSession, folder: str) -> DataFrame:
-    marks, events = _marks_and_events(spark, folder)
-    some = events.where(F.col("seq") % 3 == 0)
-    return ride(mark_positions(marks, events), some).select("session_key", "event_id", "seq", F.coalesce("event_seq", F.lit(-1)).alias("event_seq"))
-
-
-def mark_ride_whole(spark: SparkSession, folder: str) -> DataFrame:
-    """mark_ride offers every third event; this offers all, and, for gaps, those of one type."""
+    """Marks that ride on the next of all events, and, for gaps, on the next of one type."""
     marks, events = _marks_and_events(spark, folder)
     views = events.join(table(spark, folder, "events").where(F.col("event_type") == "view").select(F.col("event_id").alias("e")), "e", "left_semi")
     placed = mark_positions(marks, events)
@@ -207,20 +194,10 @@ def session_filter(spark: SparkSession, folder: str) -> DataFrame:
     return list_filtered(_sessions(spark, folder), "/home/joe", datetime(1995, 1, 1)).select("session_key", "cwd", "started_at")
 
 
-def session_recency(spark: SparkSession, folder: str) -> DataFrame:
-    ranked = by_recency(_sessions(spark, folder)).limit(50)
-    return ranked.select("session_key", "ended_at")
-
-
 def session_order(spark: SparkSession, folder: str) -> DataFrame:
-    """session_recency gives the first 50; this gives every session its position. Sessions are numbered within a day of their ends."""
-    sessions = _sessions(spark, folder).withColumn("day", F.to_date("ended_ts"))
-    days = sessions.groupBy("day").agg(F.count("*").alias("n"))
-    later = Window.orderBy(F.col("day").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    before = days.select(F.col("day").alias("d"), F.coalesce(F.sum("n").over(later), F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("day").orderBy(F.col("ended_ts").desc_nulls_last(), "session_key"))
-    numbered = sessions.withColumn("own", own).join(before, F.col("day").eqNullSafe(F.col("d")))
-    return numbered.select("session_key", "ended_at", (F.col("before") + F.col("own")).cast("long").alias("position"))
+    """The position of every session, from 1, latest end first."""
+    sessions = _sessions(spark, folder).withColumn("session_id", F.col("session_key"))
+    return listing(sessions).select("session_key", "ended_at", (F.col("position") + 1).alias("position"))
 
 
 def session_keys(spark: SparkSession, folder: str) -> DataFrame:
@@ -293,12 +270,32 @@ def classified_targets(spark: SparkSession, folder: str) -> DataFrame:
     return got.select("event_id", "action", targets.alias("targets"), outside.alias("outside"), "summary")
 
 
+def _calls_of(number: Column) -> list[Column]:
+    """The places in COMMANDS of up to four commands that a number stands for; -1 for none."""
+    n = len(COMMANDS)
+    many = number % 4 + 1
+    return [F.when(many > k, F.floor(number / (4 * 7**k)).cast("long") % n).otherwise(-1) for k in range(4)]
+
+
+def script_actions(spark: SparkSession, folder: str) -> DataFrame:
+    """Wrapper scripts of one to four commands, thousands of combinations, with calls in strings and comments that don't count, and calls of other tools."""
+    events = table(spark, folder, "events")
+    number = F.col("event_id")
+    tick = F.when(number % 5 == 0, F.lit("// tools.exec_command({\"cmd\": \"rm -rf x\"})\n")).when(number % 5 == 1, F.lit("const s = 'tools.read_file(1)';\n")).otherwise("")
+    calls = [F.when(place >= 0, F.concat(F.lit("await tools.exec_command({cmd: "), F.to_json(F.struct(picked([c for c, _, _ in COMMANDS], place).alias("c"))).substr(F.lit(6), F.length(F.to_json(F.struct(picked([c for c, _, _ in COMMANDS], place).alias("c")))) - 6), F.when(number % 3 == 0, F.lit(', "workdir": "/work/app/sub"')).otherwise(""), F.lit("});\n"))).otherwise("") for place in _calls_of(number)]
+    other = F.when(number % 11 == 0, F.lit("await tools.web_search(\"x\");\n")).otherwise("")
+    rows = events.select("event_id", F.lit("exec").alias("tool"), F.to_json(F.struct(F.concat(tick, *calls, other).alias("code"))).alias("input"), F.lit("").alias("content"), F.lit(False).alias("is_error"), F.lit("/work/app").alias("cwd"))
+    got = build_events(rows, key=("event_id",))
+    reads = F.transform(F.filter("targets", lambda t: t["touch"] == "read"), lambda t: t["path"])
+    return got.select("event_id", "action", F.array_join(F.array_sort(reads), ",").alias("reads"))
+
+
 QUERIES: dict[str, Query] = {
     "trace_spans": trace_spans, "trace_turns": trace_turns, "trace_export": trace_export, "trace_files": trace_files, "span_end_times": span_end_times, "command_kinds": command_kinds, "command_read_paths": command_read_paths, "action_for": action_for,
-    "extract_paths": extract_paths_query, "extract_paths_whole": extract_paths_whole, "path_line_hits": path_line_hits, "patch_files": patch_files, "normalize_paths": normalize_paths, "target_merge": target_merge, "truncated_notes": truncated_notes,
-    "content_to_string": content_to_string, "injected_messages": injected_messages, "pair_latest": pair_latest_query, "pair_first": pair_first_query, "mark_seq": mark_seq, "mark_ride": mark_ride, "mark_ride_whole": mark_ride_whole,
-    "session_meta": session_meta, "session_filter": session_filter, "session_recency": session_recency, "session_order": session_order, "session_keys": session_keys, "user_messages": user_messages, "strict_times": strict_times,
-    "idle_sessions": idle_sessions, "session_gaps": session_gaps, "agent_children": agent_children, "agent_depths": agent_depths, "watermarks": watermarks, "output_failed": output_failed, "classified_targets": classified_targets,
+    "extract_paths": extract_paths_query, "path_line_hits": path_line_hits, "patch_files": patch_files, "normalize_paths": normalize_paths, "target_merge": target_merge, "truncated_notes": truncated_notes,
+    "content_to_string": content_to_string, "injected_messages": injected_messages, "pair_latest": pair_latest_query, "pair_first": pair_first_query, "mark_seq": mark_seq, "mark_ride": mark_ride,
+    "session_meta": session_meta, "session_filter": session_filter, "session_order": session_order, "session_keys": session_keys, "user_messages": user_messages, "strict_times": strict_times,
+    "idle_sessions": idle_sessions, "session_gaps": session_gaps, "agent_children": agent_children, "agent_depths": agent_depths, "watermarks": watermarks, "output_failed": output_failed, "classified_targets": classified_targets, "script_actions": script_actions,
 }
 
 

@@ -153,8 +153,7 @@ SQL: dict[str, str] = {
                command || ' -> ' || CASE WHEN tool = 'Bash' THEN {{n}} ELSE 0 END || ' targets, 0 outside' AS summary
         FROM (SELECT event_id, CASE event_type WHEN 'view' THEN 'Read' WHEN 'click' THEN 'Grep' WHEN 'purchase' THEN 'Edit' WHEN 'signup' THEN 'Mystery' ELSE 'Bash' END AS tool, v.*
               FROM events JOIN {_commands} ON v.i = event_id % {len(COMMANDS)})""",
-    "extract_paths": _EXTRACT.format(only=text(PATH_ONLY), command=text(COMMAND_PATH)),
-    "extract_paths_whole": _EXTRACT.replace("substr(html, 1, 4000)", "html").format(only=text(PATH_ONLY), command=text(COMMAND_PATH)),
+    "extract_paths": _EXTRACT.replace("substr(html, 1, 4000)", "html").format(only=text(PATH_ONLY), command=text(COMMAND_PATH)),
     "path_line_hits": f"""
         WITH t AS (SELECT event_id, 'src/a.go:' || event_id || ':x' || chr(10) || '(pkg/b.py:0) ''c.txt:12'' src/a.go:7 lib/d.rs' AS text FROM events),
         hits AS (
@@ -197,8 +196,7 @@ SQL: dict[str, str] = {
         SELECT session_key, row_number() OVER (PARTITION BY session_key ORDER BY pos) - 1 AS seq, result_event IS NOT NULL AS answered, call_id, call_event, coalesce(result_event, '') AS result_event, coalesce(is_error, false) AS is_error
         FROM calls LEFT JOIN results USING (session_key, call_id)""",
     "mark_seq": _MARKS + "SELECT session_key, event_id, seq FROM marks",
-    "mark_ride": _MARKS + "SELECT session_key, event_id, seq, coalesce((SELECT min(ev.seq) FROM ev WHERE ev.session_key = marks.session_key AND ev.seq >= marks.seq AND ev.seq % 3 = 0), -1) AS event_seq FROM marks",
-    "mark_ride_whole": _MARKS + """,
+    "mark_ride": _MARKS + """,
         views AS (SELECT ev.session_key, ev.seq FROM (SELECT user_id AS session_key, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) - 1 AS seq FROM events WHERE event_type <> 'error') ev WHERE event_type = 'view')
         SELECT session_key, event_id, seq, coalesce((SELECT min(ev.seq) FROM ev WHERE ev.session_key = marks.session_key AND ev.seq >= marks.seq), -1) AS event_seq,
                coalesce((SELECT min(views.seq) FROM views WHERE views.session_key = marks.session_key AND views.seq >= marks.seq), -1) AS view_seq FROM marks""",
@@ -206,7 +204,6 @@ SQL: dict[str, str] = {
         SELECT user_id, arg_min('/w/' || event_id, (ts, event_id)) FILTER (WHERE event_type = 'view') AS cwd, coalesce(arg_max('t' || event_id, (ts, event_id)) FILTER (WHERE event_type = 'signup'), 'untitled') AS title,
                bool_or(event_type = 'error') AS is_sidechain, count(*) AS n_lines FROM events GROUP BY user_id""",
     "session_filter": _SESSIONS + "SELECT session_key, cwd, ts AS started_at FROM s WHERE starts_with(cwd, '/home/joe/') AND o_orderkey % 11 <> 0 AND date_trunc('second', o_orderdate) >= TIMESTAMP '1995-01-01'",
-    "session_recency": _SESSIONS + "SELECT session_key, ts AS ended_at FROM s WHERE o_orderkey % 13 <> 0 ORDER BY date_trunc('second', o_orderdate) DESC, session_key LIMIT 50",
     "session_order": _SESSIONS + """
         SELECT session_key, CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE ts END AS ended_at,
                row_number() OVER (ORDER BY CASE WHEN o_orderkey % 13 <> 0 THEN date_trunc('second', o_orderdate) END DESC NULLS LAST, session_key) AS position FROM s""",
@@ -219,6 +216,16 @@ SQL: dict[str, str] = {
         n AS (SELECT user_id, us, sum(fresh) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS island FROM g)
         SELECT user_id, min(us) AS from_us, max(us) AS to_us, count(*) AS n FROM n GROUP BY user_id, island""",
     "agent_children": "WITH" + _NODES + "SELECT parent_id, string_agg(session_id, ',' ORDER BY started_at, session_id) AS children FROM nodes WHERE parent_id IS NOT NULL GROUP BY parent_id",
+    # A script's action is that of all its commands, if they agree; files that are read lie under the call's folder.
+    "script_actions": f"""
+        WITH calls AS (
+            SELECT event_id, k, v.action, v.reads FROM (SELECT event_id, unnest(range(event_id % 4 + 1)) AS k FROM events) e
+            JOIN {values([(a, r) for _, a, r in COMMANDS], "action, reads")} ON v.i = (e.event_id // CAST(4 * pow(7, k) AS BIGINT)) % {len(COMMANDS)}
+        ),
+        files AS (SELECT DISTINCT event_id, CASE WHEN event_id % 3 = 0 THEN 'sub/' ELSE '' END || unnest(string_split(reads, ',')) AS path FROM calls WHERE reads <> ''),
+        listed AS (SELECT event_id, string_agg(path, ',' ORDER BY path) AS reads FROM files GROUP BY event_id)
+        SELECT event_id, CASE WHEN event_id % 11 <> 0 AND count(DISTINCT action) = 1 THEN min(action) ELSE 'exec' END AS action, coalesce(any_value(listed.reads), '') AS reads
+        FROM calls LEFT JOIN listed USING (event_id) GROUP BY event_id""",
     "agent_depths": "WITH RECURSIVE" + _NODES + """,
         d AS (SELECT session_id, session_id AS root_id, 0 AS depth FROM nodes WHERE parent_id IS NULL
               UNION ALL SELECT n.session_id, d.root_id, d.depth + 1 FROM nodes n JOIN d ON n.parent_id = d.session_id)

@@ -20,7 +20,7 @@ def test_entry(spark):
     assert set(catalog.oracle_sql()) == set(catalog.queries())
 
 
-@pytest.mark.parametrize("name", ["trace_spans", "pair_latest", "mark_ride", "session_recency", "output_failed", "target_merge", "agent_depths", "content_to_string"])
+@pytest.mark.parametrize("name", ["trace_spans", "pair_latest", "mark_seq", "session_order", "output_failed", "target_merge", "agent_depths", "content_to_string"])
 def test_oracle(spark, name):
     import duckdb
 

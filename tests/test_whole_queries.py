@@ -1,4 +1,4 @@
-"""Queries that do the whole of what another does in part, row by row against their SQL."""
+"""Queries over whole pages and tables, row by row against their SQL."""
 
 import os
 
@@ -10,7 +10,7 @@ SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="the driver's tables are not here")
 
 
-@pytest.mark.parametrize("name, tables", [("extract_paths_whole", "pages"), ("session_order", "orders"), ("mark_ride_whole", "events")])
+@pytest.mark.parametrize("name, tables", [("extract_paths", "pages"), ("session_order", "orders"), ("mark_ride", "events")])
 def test_whole(spark, name, tables):
     import duckdb
 
@@ -27,5 +27,5 @@ def test_whole(spark, name, tables):
 def test_paths_late_in_a_page(spark, tmp_path):
     page = [(1, "u", "x " * 4000 + "late/in/page.go ")]
     spark.createDataFrame(page, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
-    got = catalog.queries()["extract_paths_whole"](spark, str(tmp_path)).first()
+    got = catalog.queries()["extract_paths"](spark, str(tmp_path)).first()
     assert "late/in/page.go" in got["paths"].split("\n")
