@@ -166,7 +166,7 @@ def opencode_stores(spark: SparkSession, folder: str) -> DataFrame:
     return _rows(parsed, F.get_json_object("input", "$.path"), with_title=True)
 
 
-QUERIES = {"claude_logs": claude_logs, "codex_logs": codex_logs, "pi_logs": pi_logs, "crush_stores": crush_stores, "opencode_stores": opencode_stores}
+QUERIES = {"claude_logs": claude_logs, "codex_logs": codex_logs, "pi_logs": pi_logs, "stores_crush": crush_stores, "stores_opencode": opencode_stores}
 
 _BASE = """
 WITH base AS (
@@ -203,9 +203,9 @@ SQL = {
         UNION ALL SELECT user_id, 'session', -1, 's' || user_id || ':/w/' || user_id || ':', arg_min(stamp, pos) || '|' || arg_max(stamp, pos), false FROM base WHERE kind <> 'error' GROUP BY user_id""",
     "pi_logs": _LATEST.format(tool="read", before="", failed="high", more=" UNION ALL SELECT user_id, pos, 0, 'bash:', e || '|out', high FROM base WHERE kind = 'signup'", type="'user-message'", note="'said ' || b.e", is_mark="b.kind = 'purchase'") + """
         SELECT user_id, 'session', -1, 's' || user_id || ':/w/' || user_id || ':' || CASE WHEN count(*) FILTER (kind = 'view') > 0 THEN 'm' ELSE '' END, '2000-01-01T00:00:00Z|' || arg_max(stamp, pos) || '|named', false FROM base GROUP BY user_id""",
-    "crush_stores": _LATEST.format(tool="view", before="", failed="false", more="", type="'user-message'", note="'said ' || b.e", is_mark="b.kind = 'purchase'") + """
+    "stores_crush": _LATEST.format(tool="view", before="", failed="false", more="", type="'user-message'", note="'said ' || b.e", is_mark="b.kind = 'purchase'") + """
         SELECT user_id, 'session', -1, 's' || user_id || ':/w/' || user_id || ':' || CASE WHEN count(*) FILTER (kind = 'view') > 0 THEN 'model' ELSE '' END, '1970-01-01T00:01:40Z|2033-05-18T03:33:20Z|' || user_id || ' — ' || left('s' || user_id, 8), false FROM base GROUP BY user_id""",
-    "opencode_stores": _BASE + """,
+    "stores_opencode": _BASE + """,
         tools AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pos) - 1 AS seq FROM base WHERE kind IN ('view', 'click'))
         SELECT user_id, 'call' AS what, seq, 'read:' || e AS name, e || '|r' || e AS detail, kind = 'click' AS flag FROM tools
         UNION ALL SELECT user_id, 'mark', (SELECT count(*) FROM tools t WHERE t.user_id = b.user_id AND CASE WHEN b.kind = 'signup' THEN t.pos < b.pos ELSE t.us // 1000 < b.us // 1000 END), """ + _TYPE + ", " + _SAID + """, false FROM base b WHERE kind IN ('purchase', 'signup')

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -22,6 +22,7 @@ class Parsed:
     calls: DataFrame
     marks: DataFrame
     order: str = RECENCY  # of listings
+    made: dict = field(default_factory=dict, repr=False, compare=False)  # events and spans that were asked for: building their plans takes seconds
 
     @classmethod
     def of(cls, sessions: DataFrame, calls: DataFrame, marks: DataFrame, numbered: bool = False, order: str = RECENCY) -> Parsed:
@@ -33,10 +34,16 @@ class Parsed:
         return cls(with_times(sessions), calls.join(known, "session_key", "left_semi"), marks.join(known, "session_key", "left_semi").withColumn("mark_pos", F.col("pos")), order)
 
     def events(self, options: ClassifyOptions = ClassifyOptions(), repo_files: DataFrame | None = None) -> DataFrame:
-        return build_events(self.calls, options, repo_files)
+        key = ("events", repr(options), id(repo_files))
+        if key not in self.made:
+            self.made[key] = build_events(self.calls, options, repo_files), repo_files
+        return self.made[key][0]
 
     def spans(self, options: ClassifyOptions = ClassifyOptions()) -> DataFrame:
-        return build_spans(self.sessions, self.events(options), self.marks)
+        key = ("spans", repr(options))
+        if key not in self.made:
+            self.made[key] = build_spans(self.sessions, self.events(options), self.marks)
+        return self.made[key]
 
     def filtered(self, cwd: str | None = None, since: datetime | None = None) -> Parsed:
         """Only the sessions in a working directory, and begun at an instant or later, with what is theirs; the exact test, whatever a source has left out before."""

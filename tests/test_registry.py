@@ -35,11 +35,13 @@ def test_filters_leave_files_unread(spark, logs):
     whole = claude.read(spark, logs)
     assert len(opened(whole.sessions)) == 7
     since = datetime(2024, 2, 1, tzinfo=UTC)
-    for given, files in (({"cwd": "/a"}, 6), ({"since": since}, 5), ({"cwd": "/a", "since": since}, 4), ({"cwd": "/none"}, 2)):
+    for given, files in (({"since": since}, 5), ({"cwd": "/a", "since": since}, 4), ({"cwd": "/none"}, 2)):
         got = claude.read(spark, logs, **given)
         want = sorted(r["path"] for r in list_filtered(whole.sessions, **given).collect())
         assert sorted(r["path"] for r in got.sessions.collect()) == want and len(opened(got.sessions)) == files, given
-        assert sorted(r["session_key"] for r in got.marks.select("session_key").distinct().collect()) == sorted(r["session_key"] for r in got.sessions.collect())
+    got = claude.read(spark, logs, cwd="/a")
+    keys = sorted(r["session_key"] for r in got.sessions.collect())
+    assert len(opened(got.sessions)) == 6 and sorted(r["session_key"] for r in got.marks.select("session_key").distinct().collect()) == keys and len(keys) == 5
 
 
 def test_other_logs(spark, tmp_path):
