@@ -15,7 +15,7 @@ from spanforge.session import checkpointed
 
 
 def session_key(harness: Column, path: Column) -> Column:
-    """A stable key from the harness and the absolute, clean path of a session."""
+    """A stable key from the harness and the path of a session, which sources give absolute and clean: Spark lists files so, and paths of stores are made so."""
     digest = F.sha2(F.concat(harness, F.lit("\x00"), path).cast("binary"), 256)
     return F.concat(harness, F.lit("-"), F.left(digest, F.lit(24)))
 

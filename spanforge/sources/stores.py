@@ -38,7 +38,7 @@ def _projects(path: str) -> list[tuple[str, str]]:
             rows = json.load(f).get("projects") or []
     except (OSError, ValueError, AttributeError):
         return []
-    return [(os.path.join(r.get("data_dir") or "", "crush.db"), r.get("path") or "") for r in rows if r.get("data_dir")]
+    return [(os.path.abspath(os.path.join(r["data_dir"], "crush.db")), r.get("path") or "") for r in rows if r.get("data_dir")]
 
 
 def crush_databases(path: str) -> list[str]:
@@ -109,8 +109,13 @@ def crush(spark: SparkSession, projects: list[tuple[str, str]], since: datetime
     return Parsed.of(named, pair_latest(items.where(F.col("kind").isin("call", "result")).drop("note")), marks)
 
 
+def _paths(database: str | list[str]) -> list[str]:
+    """Absolute and clean, as keys of sessions are made of them."""
+    return [os.path.abspath(d) for d in ([database] if isinstance(database, str) else database)]
+
+
 def opencode_sessions(spark: SparkSession, database: str | list[str], since: datetime | None = None) -> DataFrame:
-    rows = read_table(spark, [database] if isinstance(database, str) else database, "session", "id string, parent_id string, directory string, title string, model string, time_created long, time_updated long", "time_created")
+    rows = read_table(spark, _paths(database), "session", "id string, parent_id string, directory string, title string, model string, time_created long, time_updated long", "time_created")
     if since is not None:
         rows = rows.where(F.col("time_created") >= lower_bound(since, 1000))
     path = F.concat("db_path", F.lit("/"), "id")
@@ -124,7 +129,7 @@ def opencode_sessions(spark: SparkSession, database: str | list[str], since: dat
 
 def opencode(spark: SparkSession, database: str | list[str], since: datetime | None = None) -> Parsed:
     """All sessions of one database or several; with since, those created then or later. Calls and results share a part; users' messages are placed among events by time."""
-    databases = [database] if isinstance(database, str) else database
+    databases = _paths(database)
     sessions = opencode_sessions(spark, databases, since)
     messages = read_table(spark, databases, "message", "id string, session_id string, time_created long, data string")
     parts = read_table(spark, databases, "part", "id string, message_id string, session_id string, time_created long, data string")
