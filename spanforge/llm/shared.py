@@ -3,21 +3,12 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 from pyspark.sql import DataFrame
 
+from spanforge.session import checkpointed as cut
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder that the session names in spark.checkpoint.dir, and read from there.
-
-    Only where the session names none (as in tests on one machine) is a folder of our own set.
-    """
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spanforge-checkpoint-"))
-    return df.checkpoint()
-
+__all__ = ["cut", "cut_small", "packed"]
 
 #: Rows of a table of ids that one task takes.
 ROWS = 200_000
