@@ -25,7 +25,6 @@ READ_TOOLS = ("Read", "read", "view")
 EDIT_TOOLS = ("Write", "Edit", "MultiEdit", "NotebookEdit", "write", "edit", "multiedit")
 GREP_TOOLS = ("Grep", "grep")
 LIST_TOOLS = ("Glob", "LS", "find", "ls", "glob")
-SHELL_TOOLS = ("Bash", "bash", "exec_command", "write_stdin", "js", "js_repl")
 TOUCH_RANK = {"edit": 3, "read": 2, "hit": 1}
 VERB_LIMIT = 96
 
@@ -49,65 +48,71 @@ def rank_touch(touch: Column) -> Column:
     return out.otherwise(0)
 
 
-def action_for(tool: Column, command: Column, commands: Column, tools: Column, source: Column, patched: Column, options: ClassifyOptions = ClassifyOptions()) -> Column:
-    """The action of a call. command: of shells; commands, tools, source, patched: of wrapper scripts."""
-    verify = lambda c: verifies(c, options.verify)
-    shell = F.when(verify(command), "verify").when(searches(command), "search").when(reads(command), "read").otherwise("exec")
+def tool_family(tool: Column) -> Column:
+    """The kind of a tool: read, edit, grep, list, shell, stdin, js; exec_command, exec, apply_patch and view_image are their own; other."""
+    families = {"read": READ_TOOLS, "edit": EDIT_TOOLS, "grep": GREP_TOOLS, "list": LIST_TOOLS, "shell": ("Bash", "bash"), "stdin": ("write_stdin",), "js": ("js", "js_repl")}
+    out = F.when(tool.isin("exec_command", "exec", "apply_patch", "view_image"), tool)
+    for family, tools in families.items():
+        out = out.when(tool.isin(*tools), family)
+    return out.otherwise("other")
+
+
+def action_for(family: Column, commands: Column, tools: Column, source: Column, patched: Column, options: ClassifyOptions = ClassifyOptions()) -> Column:
+    """The action of a call. commands: of a wrapper script, or the one of a shell; tools, source, patched: of wrapper scripts, empty for others."""
     static = F.when(source == "", True).otherwise((F.size(tools) == F.size(commands)) & F.forall(tools, lambda t: t == "exec_command"))
     every = lambda f: F.forall(commands, lambda c: f(c["command"]))
-    wrapper = (
+    run = (
         F.when(patched, "edit").when((F.size(commands) == 0) | ~static, "exec")
-        .when(every(verify), "verify").when(every(searches), "search").when(every(reads), "read").otherwise("exec")
+        .when(every(lambda c: verifies(c, options.verify)), "verify").when(every(searches), "search").when(every(reads), "read").otherwise("exec")
     )
     return (
-        F.when(tool.isin(*READ_TOOLS), "read").when(tool.isin(*EDIT_TOOLS, "apply_patch"), "edit")
-        .when(tool.isin(*GREP_TOOLS, *LIST_TOOLS, "view_image"), "search").when(tool.isin(*SHELL_TOOLS), shell).when(tool == "exec", wrapper).otherwise("other")
+        F.when(family == "read", "read").when(family.isin("edit", "apply_patch"), "edit").when(family.isin("grep", "list", "view_image"), "search")
+        .when(family.isin("shell", "stdin", "js", "exec_command", "exec"), run).otherwise("other")
     )
 
 
-def _candidates(paths: Column, touch: str, weak: bool, base: Column | None = None, lines: Column | None = None) -> Column:
-    empty = F.array().cast(NO_LINES)
-    return F.transform(paths, lambda p: F.struct(
-        p.alias("path"), F.lit(touch).alias("touch"), F.lit(weak).alias("weak"), (empty if lines is None else lines).alias("lines"), (F.lit("") if base is None else base).alias("base"))).cast(CANDIDATE)
-
-
-def _hits(text: Column, weak: bool, base: Column | None = None, lines: bool = True) -> Column:
-    empty = F.array().cast(NO_LINES)
-    return F.transform(path_hits(text), lambda h: F.struct(
-        h["path"].alias("path"), F.lit("hit").alias("touch"), F.lit(weak).alias("weak"), (h["lines"] if lines else empty).alias("lines"), (F.lit("") if base is None else base).alias("base"))).cast(CANDIDATE)
-
-
-def _given(*paths: Column) -> Column:
-    return F.filter(F.array(*paths), lambda p: p.isNotNull())
+def _candidates(paths: Column, touch: str | Column, weak: bool, base: Column | None = None, lines: Column | None = None) -> Column:
+    """Candidates of these paths; none where paths is null."""
+    touch = F.lit(touch) if isinstance(touch, str) else touch
+    found = F.transform(paths, lambda p: F.struct(
+        p.alias("path"), touch.alias("touch"), F.lit(weak).alias("weak"), (F.array().cast(NO_LINES) if lines is None else lines).alias("lines"), (F.lit("") if base is None else base).alias("base")))
+    return F.coalesce(found.cast(CANDIDATE), F.array().cast(CANDIDATE))
 
 
-def _command_candidates(command: Column, base: Column | None = None) -> Column:
-    return F.concat(_candidates(read_paths(command), "read", True, base), _candidates(command_paths(command), "hit", True, base))
+def target_candidates(family: Column, v: Column, content: Column, commands: Column, patch: Column) -> Column:
+    """All paths that a call may have touched, in order, as it names them.
 
-
-def target_candidates(tool: Column, v: Column, content: Column, commands: Column, patch: Column) -> Column:
-    """All paths that a call may have touched, in order, as it names them."""
+    Every kind of text is scanned in one place only, and is null for the tools that don't have it. The path that a search was
+    given comes last, as "given".
+    """
     offset, limit = number_at(v, "$.offset"), number_at(v, "$.limit")
-    lines = F.when(offset <= 0, F.array().cast(NO_LINES)).otherwise(F.array(F.array(offset, F.when(limit <= 0, offset).otherwise(offset + limit - 1))))
+    empty = F.array().cast(NO_LINES)
+    lines = F.when((family != "read") | (offset <= 0), empty).otherwise(F.array(F.array(offset, F.when(limit <= 0, offset).otherwise(offset + limit - 1))))
     path, file_path = string_at(v, "$.path"), string_at(v, "$.file_path")
-    both = lambda c: F.concat(c, F.lit("\n"), content)
-    bash, command, workdir = first_string(v, "command"), first_string(v, "cmd", "command"), first_string(v, "workdir")
-    wrapped = F.flatten(F.transform(commands, lambda c: F.concat(_command_candidates(c["command"], c["workdir"]), _candidates(extract_paths(c["command"]), "hit", True, c["workdir"]))))
-    image = first_string(v, "path")
+    named = F.when(family == "read", F.array(file_path, path)).when(family == "edit", F.array(file_path, string_at(v, "$.notebook_path"), path)).when(family == "view_image", F.array(path))
+    # Commands, where they run, and the text in which they and their output name paths.
+    command = F.when(family == "shell", first_string(v, "command")).when(family == "exec_command", first_string(v, "cmd", "command"))
+    workdir = F.when(family == "exec_command", first_string(v, "workdir")).otherwise("")
+    called = lambda c, w, text: F.struct(c.alias("command"), w.alias("workdir"), text.alias("text"))
+    calls = F.when(family == "exec", F.transform(commands, lambda c: called(c["command"], c["workdir"], c["command"]))).when(command.isNotNull(), F.array(called(command, workdir, F.concat(command, F.lit("\n"), content))))
+    ran = F.flatten(F.transform(calls, lambda c: F.concat(
+        _candidates(read_paths(c["command"]), "read", True, c["workdir"]), _candidates(command_paths(c["command"]), "hit", True, c["workdir"]), _candidates(extract_paths(c["text"]), "hit", True, c["workdir"]))))
+    text = F.when(family == "exec", content).when(family == "js", F.concat(first_string(v, "code", "script", "_raw"), F.lit("\n"), content))
+    hits = F.transform(path_hits(F.when(family.isin("grep", "list", "exec_command", "exec"), content)), lambda h: F.struct(
+        h["path"].alias("path"), F.lit("hit").alias("touch"), family.isin("exec_command", "exec").alias("weak"), F.when(family == "list", empty).otherwise(h["lines"]).alias("lines"), workdir.alias("base")))
+    patched = patch_paths(F.when(family == "exec", patch).when(family == "apply_patch", first_string(v, "patch", "input", "_raw")))
     none = F.array().cast(CANDIDATE)
-    return (
-        F.when(tool.isin(*READ_TOOLS), _candidates(_given(file_path, path), "read", False, lines=lines))
-        .when(tool.isin(*EDIT_TOOLS), _candidates(_given(file_path, string_at(v, "$.notebook_path"), path), "edit", False))
-        .when(tool.isin(*GREP_TOOLS), _hits(content, False))
-        .when(tool.isin(*LIST_TOOLS), _hits(content, False, lines=False))
-        .when(tool.isin("Bash", "bash"), F.concat(_command_candidates(bash), _candidates(extract_paths(both(bash)), "hit", True)))
-        .when(tool == "exec_command", F.concat(_command_candidates(command, workdir), _candidates(extract_paths(both(command)), "hit", True, workdir), _hits(content, True, workdir)))
-        .when(tool == "exec", F.concat(F.coalesce(wrapped, none), _candidates(extract_paths(content), "hit", True), _hits(content, True), _candidates(patch_paths(patch), "edit", False)))
-        .when(tool == "apply_patch", _candidates(patch_paths(first_string(v, "patch", "input", "_raw")), "edit", False))
-        .when(tool == "view_image", _candidates(F.filter(F.array(image), lambda p: p != ""), "read", False))
-        .when(tool.isin("js", "js_repl"), _candidates(extract_paths(both(first_string(v, "code", "script", "_raw"))), "hit", True))
-        .otherwise(none)
-    )
+    return F.concat(
+        _candidates(F.filter(named, lambda p: p.isNotNull()), F.when(family == "edit", "edit").otherwise("read"), False, lines=lines),
+        F.coalesce(ran.cast(CANDIDATE), none), _candidates(extract_paths(text), "hit", True), F.coalesce(hits.cast(CANDIDATE), none), _candidates(patched, "edit", False),
+        _candidates(F.when(family.isin("grep", "list") & path.isNotNull(), F.array(path)), "given", True))
+
+
+def settled(found: Column) -> Column:
+    """Placed candidates, where the path that a search was given counts, as a hit, only if nothing else lies inside."""
+    inside = F.exists(found, lambda x: x["rel"].isNotNull() & (x["touch"] != "given"))
+    kept = F.filter(found, lambda x: (x["touch"] != "given") | ~inside)
+    return F.transform(kept, lambda x: x.withField("touch", F.when(x["touch"] == "given", "hit").otherwise(x["touch"]))).cast(PLACED)
 
 
 def placed(candidates: Column, cwd: Column, options: ClassifyOptions = ClassifyOptions()) -> Column:
@@ -193,19 +198,21 @@ def build_events(calls: DataFrame, options: ClassifyOptions = ClassifyOptions(),
     else:
         base = base.select("*", F.lit("").alias("__source"), F.array().cast("array<struct<command:string,workdir:string>>").alias("__commands"), F.array().cast("array<string>").alias("__tools"), F.lit("").alias("__patch"))
     v, tool, content, cwd = F.col("__v"), F.col("tool"), F.coalesce("content", F.lit("")), F.coalesce("cwd", F.lit(""))
-    base = base.withColumn("__command", F.when(tool.isin(*SHELL_TOOLS), first_string(v, "command", "cmd", "code", "chars", "script", "_raw")).otherwise(""))
-    base = base.withColumn("__found", placed(target_candidates(tool, v, content, F.col("__commands"), F.col("__patch")), cwd, options))
-    # Searches that name no file fall back to the path they were given.
-    fallback = placed(_candidates(_given(string_at(v, "$.path")), "hit", True), cwd, options)
-    empty = F.size(F.filter("__found", lambda x: x["rel"].isNotNull())) == 0
-    base = base.withColumn("__found", F.when(tool.isin(*GREP_TOOLS, *LIST_TOOLS) & empty, F.concat(F.col("__found"), fallback)).otherwise(F.col("__found")))
+    family = F.col("__family")
+    base = base.withColumn("__family", tool_family(tool))
+    base = base.withColumn("__found", placed(target_candidates(family, v, content, F.col("__commands"), F.col("__patch")), cwd, options))
+    base = base.withColumn("__found", settled(F.col("__found")))
     if repo_files is not None:
         base = _existing(base, repo_files, key)
-    base = base.withColumn("targets", merge_targets(F.col("__found"))).withColumn("outside", outside_touches(F.col("__found")))
-    base = base.withColumn("action", action_for(tool, F.col("__command"), F.col("__commands"), F.col("__tools"), F.col("__source"), F.size(patch_paths(F.col("__patch"))) > 0, options))
-    base = base.withColumn("result_bytes", F.octet_length(content))
+    shell = first_string(v, "command", "cmd", "code", "chars", "script", "_raw")
+    one = F.array(F.struct(shell.alias("command"), F.lit("").alias("workdir")))
+    base = base.withColumn("__ran", F.when(family.isin("shell", "stdin", "js", "exec_command"), one).otherwise(F.col("__commands")))
+    base = base.withColumns({
+        "targets": merge_targets(F.col("__found")), "outside": outside_touches(F.col("__found")),
+        "action": action_for(family, F.col("__ran"), F.col("__tools"), F.col("__source"), (family == "exec") & (F.size(patch_paths(F.col("__patch"))) > 0), options),
+        "result_bytes": F.octet_length(content)})
     base = base.withColumn("summary", summary_for(tool, v, F.col("__source"), F.col("__commands"), F.col("__tools"), F.size("targets"), F.size("outside"), F.coalesce("is_error", F.lit(False))))
-    return base.drop("__v", "__source", "__commands", "__tools", "__patch", "__command", "__found")
+    return base.drop("__v", "__source", "__commands", "__tools", "__patch", "__family", "__found", "__ran")
 
 
 def _existing(base: DataFrame, repo_files: DataFrame, key: Sequence[str]) -> DataFrame:
