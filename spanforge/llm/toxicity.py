@@ -9,8 +9,8 @@
    probability by a logistic curve, fitted on rows that took no part in step 1.
 
 Labels are learned from rows whose crc32(doc_id) mod 4 is not ``HELD_OUT`` only, and from ``FIT_ROWS`` of these at
-most (those with the least hashes), a documented bound which also bounds what is broadcast. At most ``MAX_TERMS`` terms
-are kept. Every row is scored on its whole text.
+most (those with the least hashes), a documented bound which also bounds what is broadcast: the terms
+kept are all significant ones of the toxic rows among these, however many rows are scored. Every row is scored on its whole text.
 
 Defined cases: null and empty texts have no segment and get the score that stands for no evidence; without labels of
 both kinds all scores are 0; several labels of one document count as toxic if any is; repeated rows are each scored;
@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 
 HELD_OUT = 2
 FIT_ROWS = 60_000
-MAX_TERMS = 50_000
 MIN_DOCS = 3
 MIN_Z = 3.0
 #: Least log-odds of a toxic term, and in how many surroundings it must stand.
@@ -190,7 +189,7 @@ def _toxic_terms(counts: DataFrame, n_pos: int, n_neg: int) -> DataFrame:
         counts.where((F.col("pos") >= MIN_DOCS) & (F.col("places") >= MIN_PLACES))
         .select("term", odds.alias("score"), z.alias("z"), (neg / total_neg).alias("clean"))
         .where((F.col("z") >= MIN_Z) & (F.col("score") > MIN_ODDS))
-        .orderBy(F.desc("z"), "term").limit(MAX_TERMS)
+        .orderBy(F.desc("z"), "term")
     )
 
 
@@ -243,7 +242,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame) -> ToxicModel:
     n = {bool(r["toxic"]): r["n"] for r in sizes}
     if not n.get(True) or not n.get(False):
         return ToxicModel()
-    terms = _toxic_terms(_term_counts(learn), n[True], n[False]).collect()  # MAX_TERMS rows at most
+    terms = _toxic_terms(_term_counts(learn), n[True], n[False]).collect()  # terms of the toxic rows among FIT_ROWS
     model = ToxicModel(scores={r["term"]: min(r["score"], 8.0) for r in terms})
     if terms:
         # A clean document holds a term with this chance, so a clean word is the term with less than a LEAST_WORDS-th of it.
