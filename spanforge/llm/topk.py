@@ -7,10 +7,11 @@ sum of m * (mean * mean' + dev * dev'). Resolutions go from coarse to fine: for
 the bounds of the coarsest are taken first, and only pairs that may still be among a query's k best go on to the
 next and at last to the exact product.
 
-Queries are the rows whose id is divisible by ``EVERY``, against all rows in blocks: blocks of queries are
-sent to slices of the rows; a task goes through one block of queries and one slice at a time with the k best of each
-query so far, so memory is bounded by the blocks and what leaves a task by its queries. The last step keeps the k
-best of each query over all slices.
+Queries are the rows whose id is divisible by ``EVERY``, against all rows in blocks. Blocks of rows are dealt to slices
+and blocks of queries to groups, whose numbers grow with the data; every slice meets every group in a tile of its own, which
+holds ``SLICE`` rows and ``GROUP`` queries on average. A task goes through one block of queries at a time with the k best
+of each query so far, so memory is bounded by the blocks and what leaves a task by its queries. The last step keeps
+the k best of each query over all slices.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part, neither do rows with a null
 id; vectors of another length than the query's are no candidates; an empty vector scores 0 with other empty ones; ties
@@ -20,6 +21,7 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 K, EVERY = 20, 20
 #: Rows of a block of candidates and of a block of queries.
 ROWS, QUERIES = 4096, 2048
+#: Rows and queries of a tile.
+SLICE, GROUP = 1 << 20, 1 << 16
 #: Segments at each resolution, where the length allows.
 RESOLUTIONS = (4, 8, 16)
 EXACT = float(1 << 53)
@@ -153,16 +157,19 @@ class Best:
                 yield q, i, max(min(s, 2**63 - 1), -(2**63))
 
 
-def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K, every: int = EVERY) -> DataFrame:
+def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K, every: int = EVERY, slice_rows: int = SLICE, group_rows: int = GROUP) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of the largest inner product for every query."""
     session = df.sparkSession
     rows = prepared(df, key, vector)
-    slices = max(1, int(session.conf.get("spark.sql.shuffle.partitions")))
-    # A slice is what one task reads of the rows; queries come in blocks, and a block goes to every slice.
-    packed = _blocks(rows, ROWS).withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(slices)))
-    asked = _blocks(rows.where(F.col("id") % every == 0), QUERIES).select(
-        "size", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"))
-    pairs = packed.join(asked, ["slice", "size"]).select("size", "q_ids", "q_data", "ids", "data").sortWithinPartitions("q_ids")
+    # Counted before vectors are looked at, so from the column of ids alone.
+    n = df.select(F.count("*").alias("rows"), F.count(F.when(F.col(key) % every == 0, 1)).alias("queries")).first()
+    slices = max(1, int(session.conf.get("spark.sql.shuffle.partitions")), math.ceil(n["rows"] / slice_rows))
+    groups = max(1, math.ceil(n["queries"] / group_rows))
+    each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    dealt = lambda count: F.pmod(F.xxhash64("ids"), F.lit(count).cast("long"))
+    packed = _blocks(rows, ROWS).select("size", "ids", "data", dealt(slices).alias("slice"), each(groups).alias("group"))
+    asked = _blocks(rows.where(F.col("id") % every == 0), QUERIES).select("size", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), dealt(groups).alias("group"), each(slices).alias("slice"))
+    pairs = packed.join(asked, ["slice", "group", "size"]).select("size", "q_ids", "q_data", "ids", "data").sortWithinPartitions("q_ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, name = None, None
