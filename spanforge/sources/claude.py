@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions.paths import base_name
-from spanforge.functions.text import content_text, injected, string_at, trim_space, truncate_runes, value_at, variant
+from spanforge.functions.text import content_text, injected, string_at, trim_space, truncate_runes, value_at
 from spanforge.operators.pairing import pair_latest, running_first
 from spanforge.operators.sessions import TEXT, first_value, last_value, session_key
-from spanforge.sources.lines import content_items, files_of, joined_texts, json_lines, text_field, well_typed
+from spanforge.session import checkpointed
+from spanforge.sources.lines import content_items, decoded, files_of, joined_texts, json_lines, text_field, well_typed
 from spanforge.sources.parsed import Parsed
 
 HARNESS = "claude-code"
@@ -21,7 +22,7 @@ STRINGS = ("type", "timestamp", "sessionId", "agentId", "cwd", "gitBranch", "aiT
 def records(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Decoded lines; those that are no records of this log are dropped one by one. keep: further columns of lines to keep."""
     v = F.col("v")
-    rows = lines.withColumn("v", variant(F.col("line"))).where(F.coalesce(well_typed(v, STRINGS, ("isSidechain",)), F.lit(False)))
+    rows = decoded(lines).where(F.coalesce(well_typed(v, STRINGS, ("isSidechain",)), F.lit(False)))
     rows = rows.select("path", "line_no", "end_offset", *keep, *(text_field(v, n).alias(n) for n in STRINGS), F.coalesce(F.try_variant_get(v, "$.isSidechain", "boolean"), F.lit(False)).alias("isSidechain"), value_at(v, "$.message").alias("m"), value_at(v, "$.message").isNotNull().alias("has_message"))
     rows = rows.withColumn("session_key", session_key(F.lit(HARNESS), F.col("path")))
     content = value_at(F.col("m"), "$.content")
@@ -98,9 +99,10 @@ def starts(lines: DataFrame) -> DataFrame:
     return records(lines).groupBy("path").agg(first_value(F.col("cwd"), no).alias("cwd"), first_value(F.col("timestamp"), no).alias("started_at"))
 
 
-def read(spark: SparkSession, folder: str, pattern: str = "*.jsonl", cwd: str | None = None, since: datetime | None = None) -> Parsed:
-    """All sessions below a folder, or those that pass; files named agent-* are parts of others and left out."""
+def read(spark: SparkSession, folder: str, pattern: str = "*.jsonl", cwd: str | None = None, since: datetime | None = None, once: bool = False) -> Parsed:
+    """All sessions below a folder, or those that pass; files named agent-* are parts of others and left out. once: decoded records are written to the checkpoint folder first, so files are opened once, however often sessions, calls and marks read them."""
     files = files_of(spark, folder, pattern, starts, cwd, since)
     lines = json_lines(spark, files, pattern).where(~F.startswith(base_name(F.col("path")), F.lit("agent-")))
     rows = records(lines)
+    rows = checkpointed(rows) if once else rows
     return Parsed.of(sessions(rows), *parse(rows), order=TEXT).filtered(cwd, since)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanforge.functions.text import is_kind, parse_time, string_at, trim_space, value_at
+from spanforge.functions.text import is_kind, parse_time, string_at, trim_space, value_at, variant
 from spanforge.operators.sessions import cwd_matches
 
 
@@ -114,6 +114,11 @@ def exists(folder: str) -> bool:
     return "://" in folder or os.path.isdir(folder)
 
 
+def decoded(lines: DataFrame) -> DataFrame:
+    """lines with v, what each says, decoded once: a filter on v would be moved below a plain column, and decode again for every field that it looks at."""
+    return lines.select("*", F.explode(F.array(variant(F.col("line")))).alias("v"))
+
+
 def text_field(v: Column, name: str) -> Column:
     """A string field; empty if missing or null."""
     return F.coalesce(string_at(v, f"$.{name}"), F.lit(""))

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.paths import base_name
-from spanforge.functions.text import WS, injected, string_at, trim_space, truncate_runes, value_at, variant
+from spanforge.functions.text import WS, injected, string_at, trim_space, truncate_runes, value_at
 from spanforge.operators.pairing import pair_latest
 from spanforge.operators.sessions import TEXT, first_value, last_value, session_key
-from spanforge.sources.lines import content_items, files_of, joined_texts, json_lines, text_field, well_typed
+from spanforge.session import checkpointed
+from spanforge.sources.lines import content_items, decoded, files_of, joined_texts, json_lines, text_field, well_typed
 from spanforge.sources.parsed import Parsed
 
 HARNESS = "pi"
@@ -48,7 +49,7 @@ def linearize(entries: DataFrame, session: str = "session_key") -> DataFrame:
 def records(lines: DataFrame) -> DataFrame:
     """Decoded entries; the first that is valid JSON must be the header of a session."""
     v = F.col("v")
-    rows = lines.withColumn("v", variant(F.col("line"))).where(v.isNotNull()).withColumn("session_key", session_key(F.lit(HARNESS), F.col("path")))
+    rows = decoded(lines).where(v.isNotNull()).withColumn("session_key", session_key(F.lit(HARNESS), F.col("path")))
     w = Window.partitionBy("session_key").orderBy("line_no")
     head = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("n", F.row_number().over(w)).withColumn("header_ok", F.first((string_at(v, "$.type") == "session") & string_at(v, "$.id").isNotNull()).over(head))
@@ -110,8 +111,9 @@ def starts(lines: DataFrame) -> DataFrame:
     return records(lines).where("is_header").select("path", "cwd", F.col("timestamp").alias("started_at"))
 
 
-def read(spark: SparkSession, folder: str, pattern: str = "*.jsonl", cwd: str | None = None, since: datetime | None = None) -> Parsed:
-    """All sessions below a folder, or those that pass."""
+def read(spark: SparkSession, folder: str, pattern: str = "*.jsonl", cwd: str | None = None, since: datetime | None = None, once: bool = False) -> Parsed:
+    """All sessions below a folder, or those that pass. once: decoded records are written to the checkpoint folder first, so files are opened once, however often sessions, calls and marks read them."""
     rows = records(json_lines(spark, files_of(spark, folder, pattern, starts, cwd, since), pattern))
-    way = _way(rows)
+    rows = checkpointed(rows) if once else rows
+    way = checkpointed(_way(rows)) if once else _way(rows)
     return Parsed.of(sessions(rows, way), *parse(rows, way), order=TEXT).filtered(cwd, since)
