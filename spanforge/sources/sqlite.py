@@ -2,7 +2,7 @@
 
     spark.read.format("sqlite_ro").schema(...).option("paths", json list).option("table", name).option("bound", column).load()
 
-One partition for each file. A file that is missing, or no database, has no rows; an error in the middle of a table fails
+One partition for each file, up to ``TASKS`` files; of more, each holds several, ``FILES`` at most. A file that is missing, or no database, has no rows; an error in the middle of a table fails
 the task, so no prefix passes for the whole. Rows come with db_path, the file they are from. Bounds are only ever a
 superset: Spark filters again.
 """
@@ -19,12 +19,14 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition
 
 BUSY_SECONDS = 5
+#: Files up to which each has a partition of its own, and the most that one partition holds.
+TASKS, FILES = 64, 512
 
 
-class OneFile(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
+class SomeFiles(InputPartition):
+    def __init__(self, paths: list[str]):
+        super().__init__(tuple(paths))
+        self.paths = paths
 
 
 class SqliteReader(DataSourceReader):
@@ -36,10 +38,17 @@ class SqliteReader(DataSourceReader):
         self.least: int | None = None
 
     def partitions(self) -> list[InputPartition]:
-        return [OneFile(p) for p in self.paths] or [OneFile("")]
+        size = min(FILES, -(-len(self.paths) // TASKS)) or 1
+        return [SomeFiles(self.paths[k : k + size]) for k in range(0, len(self.paths), size)] or [SomeFiles([])]
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"paths": []}  # a task has those of its partition
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        path = partition.path
+        for path in partition.paths:
+            yield from self._rows(path)
+
+    def _rows(self, path: str) -> Iterator[tuple]:
         if not path or not os.path.isfile(path):
             return
         names = ", ".join('"' + c.replace('"', '""') + '"' for c in self.columns if c not in ("db_path", "row_no"))

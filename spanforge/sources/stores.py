@@ -13,6 +13,7 @@ from spanforge.functions.paths import base_name
 from spanforge.functions.text import content_text, injected, is_kind, millis_text, seconds_text, string_at, trim_space, truncate_runes, value_at, variant
 from spanforge.operators.pairing import pair_latest
 from spanforge.operators.sessions import STORE, session_key
+from spanforge.session import checkpointed
 from spanforge.sources.lines import text_field
 from spanforge.sources.parsed import Parsed
 from spanforge.sources.sqlite import read_table
@@ -98,10 +99,11 @@ def placed_messages(spark: SparkSession, messages: DataFrame, projects: list[tup
     return messages.join(where, "db_path").withColumn("session_key", session_key(F.lit(CRUSH), F.concat("db_path", F.lit("/"), "session_id")))
 
 
-def crush(spark: SparkSession, projects: list[tuple[str, str]], since: datetime | None = None) -> Parsed:
-    """All sessions of the databases of projects, as (database, working directory); with since, those created then or later."""
-    sessions = crush_sessions(spark, projects, since)
-    messages = placed_messages(spark, read_table(spark, [d for d, _ in projects], "messages", MESSAGE), projects)
+def crush(spark: SparkSession, projects: list[tuple[str, str]], since: datetime | None = None, once: bool = False) -> Parsed:
+    """All sessions of the databases of projects, as (database, working directory); with since, those created then or later. once: tables are written to the checkpoint folder first, so stores are opened once for each."""
+    kept = checkpointed if once else lambda df: df
+    sessions = kept(crush_sessions(spark, projects, since))
+    messages = kept(placed_messages(spark, read_table(spark, [d for d, _ in projects], "messages", MESSAGE), projects))
     items = crush_items(messages)
     marks = items.where(F.col("kind") == "user-message").select("session_key", "pos", "ts", F.col("kind").alias("type"), "note")
     models = messages.where(F.col("model") != "").groupBy("session_key").agg(F.min_by("model", F.struct("created_at", "row_no")).alias("first_model"))
@@ -127,12 +129,13 @@ def opencode_sessions(spark: SparkSession, database: str | list[str], since: dat
         blank.alias("agent_id"), F.lit(False).alias("is_sidechain"), (parent != "").alias("auxiliary"), parent.alias("parent_id"))
 
 
-def opencode(spark: SparkSession, database: str | list[str], since: datetime | None = None) -> Parsed:
-    """All sessions of one database or several; with since, those created then or later. Calls and results share a part; users' messages are placed among events by time."""
+def opencode(spark: SparkSession, database: str | list[str], since: datetime | None = None, once: bool = False) -> Parsed:
+    """All sessions of one database or several; with since, those created then or later. Calls and results share a part; users' messages are placed among events by time. once: as for crush."""
+    kept = checkpointed if once else lambda df: df
     databases = _paths(database)
-    sessions = opencode_sessions(spark, databases, since)
-    messages = read_table(spark, databases, "message", "id string, session_id string, time_created long, data string")
-    parts = read_table(spark, databases, "part", "id string, message_id string, session_id string, time_created long, data string")
+    sessions = kept(opencode_sessions(spark, databases, since))
+    messages = kept(read_table(spark, databases, "message", "id string, session_id string, time_created long, data string"))
+    parts = kept(read_table(spark, databases, "part", "id string, message_id string, session_id string, time_created long, data string"))
     key = session_key(F.lit(OPENCODE), F.concat("db_path", F.lit("/"), "session_id"))
     joined = parts.join(messages.select("db_path", F.col("id").alias("message_id"), F.col("time_created").alias("message_time")), ["db_path", "message_id"]).withColumn("session_key", key)
     order = Window.partitionBy("session_key").orderBy("message_time", "time_created", "row_no")
