@@ -186,12 +186,15 @@ def _with_scripts(calls: DataFrame, split: bool) -> DataFrame:
     return plain.unionByName(scripts)
 
 
-def build_events(calls: DataFrame, options: ClassifyOptions = ClassifyOptions(), repo_files: DataFrame | None = None, key: Sequence[str] = ("session_key", "seq"), scripts: bool = True, split: bool = True) -> DataFrame:
+def build_events(calls: DataFrame, options: ClassifyOptions = ClassifyOptions(), repo_files: DataFrame | None = None, key: Sequence[str] = ("session_key", "seq"), scripts: bool = True, split: bool = True, recurring: bool = False) -> DataFrame:
     """calls with action, targets, outside, result_bytes and summary.
 
     repo_files (cwd, path): if given, weak targets that it lacks go. scripts: whether wrapper scripts may occur; without
-    them the plan is free of Python. split: False for streams, whose rows must be read once.
+    them the plan is free of Python. split: False for streams, whose rows must be read once. recurring: calls that are equal in
+    all of ``CALLS`` are classified once, at the cost of a shuffle of different calls and a join by their digests.
     """
+    if recurring:
+        return _once_each(calls, options, repo_files, scripts)
     base = calls.withColumn("__v", variant(F.col("input")))
     if scripts:
         base = _with_scripts(base, split)
@@ -215,6 +218,17 @@ def build_events(calls: DataFrame, options: ClassifyOptions = ClassifyOptions(),
     return base.drop("__v", "__source", "__commands", "__tools", "__patch", "__family", "__found", "__ran")
 
 
+def _once_each(calls: DataFrame, options: ClassifyOptions, repo_files: DataFrame | None, scripts: bool) -> DataFrame:
+    """build_events for calls that recur: what an event says depends on ``CALLS`` alone."""
+    digest = F.sha2(F.to_json(F.struct(*CALLS)), 256)  # fields that are null are left out
+    different = calls.select(digest.alias("__call"), *CALLS).distinct()
+    events = build_events(different, options, repo_files, key=("__call",), scripts=scripts, split=False)
+    made = [c for c in events.columns if c not in different.columns]
+    rest = [c for c in calls.columns if c not in CALLS]
+    joined = calls.select(*rest, digest.alias("__call")).join(events, "__call")
+    return joined.select(*calls.columns, *made)
+
+
 def _existing(base: DataFrame, repo_files: DataFrame, key: Sequence[str]) -> DataFrame:
     """base without the weak targets that repo_files does not have; one join on (cwd, path), and one back on the key."""
     weak = base.select(*key, "cwd", F.explode("__found").alias("x")).where(F.col("x.weak") & F.col("x.rel").isNotNull()).select(*key, F.col("cwd"), F.col("x.rel").alias("path")).distinct()

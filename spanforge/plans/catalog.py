@@ -75,7 +75,7 @@ def action_for(spark: SparkSession, folder: str) -> DataFrame:
     tool = F.when(F.col("event_type") == "view", "Read").when(F.col("event_type") == "click", "Grep").when(F.col("event_type") == "purchase", "Edit").when(F.col("event_type") == "signup", "Mystery").otherwise("Bash")
     rows = table(spark, folder, "events").select("event_id", tool.alias("tool"), picked([c for c, _, _ in COMMANDS], F.col("event_id")).alias("command"))
     calls = rows.select("event_id", "tool", F.to_json(F.struct("command")).alias("input"), F.lit("").alias("content"), F.lit(False).alias("is_error"), F.lit("/work/app").alias("cwd"))
-    return build_events(calls, key=("event_id",), scripts=False).select("event_id", "tool", "action", "summary")
+    return build_events(calls, key=("event_id",), scripts=False, recurring=True).select("event_id", "tool", "action", "summary")
 
 
 def extract_paths_query(spark: SparkSession, folder: str) -> DataFrame:
@@ -264,7 +264,7 @@ def classified_targets(spark: SparkSession, folder: str) -> DataFrame:
         "event_id", F.when(k == 0, "exec").when(k == 1, "apply_patch").otherwise("Bash").alias("tool"),
         F.when(k == 0, F.to_json(F.struct(script.alias("code")))).when(k == 1, F.to_json(F.struct(patch.alias("patch")))).otherwise('{"command": "grep -n x src/b.go", "description": "Look"}').alias("input"),
         F.when(k == 2, "src/b.go:3: x\n").otherwise("").alias("content"), F.lit(False).alias("is_error"), F.lit("/work/app").alias("cwd"))
-    got = build_events(rows, ClassifyOptions(), key=("event_id",))
+    got = build_events(rows, ClassifyOptions(), key=("event_id",), recurring=True)
     targets = F.array_join(F.transform("targets", lambda t: F.concat_ws(":", t["path"], t["touch"])), ",")
     outside = F.array_join(F.transform("outside", lambda t: F.concat_ws(":", t["scope"], t["path"])), ",")
     return got.select("event_id", "action", targets.alias("targets"), outside.alias("outside"), "summary")
@@ -285,7 +285,7 @@ def script_actions(spark: SparkSession, folder: str) -> DataFrame:
     calls = [F.when(place >= 0, F.concat(F.lit("await tools.exec_command({cmd: "), F.to_json(F.struct(picked([c for c, _, _ in COMMANDS], place).alias("c"))).substr(F.lit(6), F.length(F.to_json(F.struct(picked([c for c, _, _ in COMMANDS], place).alias("c")))) - 6), F.when(number % 3 == 0, F.lit(', "workdir": "/work/app/sub"')).otherwise(""), F.lit("});\n"))).otherwise("") for place in _calls_of(number)]
     other = F.when(number % 11 == 0, F.lit("await tools.web_search(\"x\");\n")).otherwise("")
     rows = events.select("event_id", F.lit("exec").alias("tool"), F.to_json(F.struct(F.concat(tick, *calls, other).alias("code"))).alias("input"), F.lit("").alias("content"), F.lit(False).alias("is_error"), F.lit("/work/app").alias("cwd"))
-    got = build_events(rows, key=("event_id",))
+    got = build_events(rows, key=("event_id",), recurring=True)
     reads = F.transform(F.filter("targets", lambda t: t["touch"] == "read"), lambda t: t["path"])
     return got.select("event_id", "action", F.array_join(F.array_sort(reads), ",").alias("reads"))
 
