@@ -12,7 +12,7 @@ from spanforge.functions.text import content_text, injected, string_at, trim_spa
 from spanforge.operators.pairing import pair_latest, running_first
 from spanforge.operators.sessions import TEXT, first_value, last_value, session_key
 from spanforge.session import checkpointed
-from spanforge.sources.lines import content_items, decoded, files_of, joined_texts, json_lines, text_field, well_typed
+from spanforge.sources.lines import content_items, decoded, files_of, joined_texts, json_lines, numbered_lines, text_field, well_typed
 from spanforge.sources.parsed import Parsed
 
 HARNESS = "claude-code"
@@ -23,7 +23,7 @@ def records(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Decoded lines; those that are no records of this log are dropped one by one. keep: further columns of lines to keep."""
     v = F.col("v")
     rows = decoded(lines).where(F.coalesce(well_typed(v, STRINGS, ("isSidechain",)), F.lit(False)))
-    rows = rows.select("path", "line_no", "end_offset", *keep, *(text_field(v, n).alias(n) for n in STRINGS), F.coalesce(F.try_variant_get(v, "$.isSidechain", "boolean"), F.lit(False)).alias("isSidechain"), value_at(v, "$.message").alias("m"), value_at(v, "$.message").isNotNull().alias("has_message"))
+    rows = rows.select("path", "line_no", *(c for c in ("end_offset",) if c in rows.columns), *keep, *(text_field(v, n).alias(n) for n in STRINGS), F.coalesce(F.try_variant_get(v, "$.isSidechain", "boolean"), F.lit(False)).alias("isSidechain"), value_at(v, "$.message").alias("m"), value_at(v, "$.message").isNotNull().alias("has_message"))
     rows = rows.withColumn("session_key", session_key(F.lit(HARNESS), F.col("path")))
     content = value_at(F.col("m"), "$.content")
     items = content_items(content)
@@ -85,9 +85,10 @@ def items(rows: DataFrame, *order: Column) -> DataFrame:
     return out.select("session_key", F.struct("g", "a", "b", F.col("r.sub").alias("c")).alias("pos"), "r.kind", "r.call_id", "r.tool", "r.input", "ts", "cwd", "r.content", "r.is_error", "r.note")
 
 
-def parse(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Paired calls (see pair_latest) and marks."""
+def parse(rows: DataFrame, once: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Paired calls (see pair_latest) and marks. once: items are written to the checkpoint folder, so calls, marks and their places don't take them from records again."""
     found = items(rows, F.col("line_no")).withColumn("cwd", F.coalesce(running_first(F.col("cwd")), F.lit("")))
+    found = checkpointed(found) if once else found
     calls = pair_latest(found.where(F.col("kind").isin("call", "result")).drop("note"))
     marks = found.where(~F.col("kind").isin("call", "result", "cwd")).select("session_key", "pos", F.col("kind").alias("type"), "note", F.lit("").alias("ts"))
     return calls, marks
@@ -102,7 +103,7 @@ def starts(lines: DataFrame) -> DataFrame:
 def read(spark: SparkSession, folder: str, pattern: str = "*.jsonl", cwd: str | None = None, since: datetime | None = None, once: bool = False) -> Parsed:
     """All sessions below a folder, or those that pass; files named agent-* are parts of others and left out. once: decoded records are written to the checkpoint folder first, so files are opened once, however often sessions, calls and marks read them."""
     files = files_of(spark, folder, pattern, starts, cwd, since)
-    lines = json_lines(spark, files, pattern).where(~F.startswith(base_name(F.col("path")), F.lit("agent-")))
+    lines = (numbered_lines if once else json_lines)(spark, files, pattern).where(~F.startswith(base_name(F.col("path")), F.lit("agent-")))
     rows = records(lines)
     rows = checkpointed(rows) if once else rows
-    return Parsed.of(sessions(rows), *parse(rows), order=TEXT).filtered(cwd, since)
+    return Parsed.of(sessions(rows), *parse(rows, once), order=TEXT).filtered(cwd, since)

@@ -13,7 +13,7 @@ from spanforge.operators.failures import command_output_failed
 from spanforge.operators.pairing import pair_first
 from spanforge.operators.sessions import TEXT, first_value, last_value, session_key
 from spanforge.session import checkpointed
-from spanforge.sources.lines import content_items, decoded, files_of, joined_texts, json_lines, text_field, well_typed
+from spanforge.sources.lines import content_items, decoded, files_of, joined_texts, json_lines, numbered_lines, text_field, well_typed
 from spanforge.sources.parsed import Parsed
 
 HARNESS = "codex"
@@ -24,7 +24,7 @@ def records(lines: DataFrame) -> DataFrame:
     rows = decoded(lines).where(F.coalesce(well_typed(v, ("type", "timestamp", "id", "role")), F.lit(False)))
     rows = rows.withColumn("p", value_at(v, "$.payload"))
     fields = {n: text_field(v, n) for n in ("type", "timestamp", "id", "role")} | {f"p_{n}": text_field(p, n) for n in ("type", "id", "name", "call_id", "role", "cwd", "model", "thread_source")}
-    rows = rows.select("path", "line_no", "end_offset", "v", "p", *(c.alias(n) for n, c in fields.items()))
+    rows = rows.select("path", "line_no", *(c for c in ("end_offset",) if c in rows.columns), "v", "p", *(c.alias(n) for n, c in fields.items()))
     strings = {"session_meta": ("id", "cwd", "thread_source"), "turn_context": ("cwd", "model"), "response_item": ("type", "id", "name", "call_id", "role"), "event_msg": ("type", "call_id")}
     readable = F.lit(False)
     for kind, names in strings.items():
@@ -136,6 +136,6 @@ def starts(lines: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, folder: str, index: str | None = None, whole: bool = True, pattern: str = "*.jsonl", cwd: str | None = None, since: datetime | None = None, once: bool = False) -> Parsed:
     """All sessions below a folder, or those that pass; index: a file of titles. once: decoded records are written to the checkpoint folder first, so files are opened once, however often sessions, calls and marks read them."""
-    rows = records(json_lines(spark, files_of(spark, folder, pattern, starts, cwd, since), pattern))
+    rows = records((numbered_lines if once else json_lines)(spark, files_of(spark, folder, pattern, starts, cwd, since), pattern))
     rows = checkpointed(rows) if once else rows
     return Parsed.of(sessions(rows, titles(spark, index) if index else None, whole), *parse(rows), order=TEXT).filtered(cwd, since)

@@ -17,6 +17,8 @@ from spanforge.operators.sessions import cwd_matches
 
 #: What is read of a file to know where and when its session began.
 HEAD_LINES, HEAD_BYTES = 64, 1 << 18
+#: Files of no more bytes are read whole where no offsets are asked for.
+WHOLE_BYTES = 1 << 20
 
 
 def mounted(folder: str) -> bool:
@@ -68,9 +70,9 @@ def files_of(spark: SparkSession, folder: str, pattern: str, starts: Callable[[D
     return [r["path"] for r in files.join(gone, "path", "left_anti").collect()]
 
 
-def json_lines(spark: SparkSession, folder: str | list[str], pattern: str = "*.jsonl", complete: bool = False) -> DataFrame:
+def json_lines(spark: SparkSession, folder: str | list[str], pattern: str = "*.jsonl", complete: bool = False, larger_than: int = -1) -> DataFrame:
     """path, line_no, line, end_offset: all non-empty lines of the files below a folder (or of some files), without line ends; a last line that
-    isn't ended counts, unless only complete lines are wanted. line_no counts from 0, empty lines too; end_offset is the byte after a line.
+    isn't ended counts, unless only complete lines are wanted; files of larger_than bytes or less are left unread. line_no counts from 0, empty lines too; end_offset is the byte after a line.
 
     Spark's reader cuts files into byte ranges (spark.sql.files.maxPartitionBytes), so one large file takes all cores. A line belongs
     to the range it begins in. Lines are numbered inside their range as they are read, and a range's first number and first byte
@@ -80,7 +82,7 @@ def json_lines(spark: SparkSession, folder: str | list[str], pattern: str = "*.j
     if not folder:
         return spark.createDataFrame([], "path string, line_no long, line string, end_offset long")
     # Carriage returns stay in the line until its bytes are counted.
-    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n").text(folder)
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n").text(folder).where(F.col("_metadata.file_size") > larger_than)
     rows = read.select(F.col("_metadata.file_path").alias("url"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("file_size"), "value", F.monotonically_increasing_id().alias("at"))
     size = F.octet_length("value") + 1
     before = Window.partitionBy("url").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -94,6 +96,19 @@ def json_lines(spark: SparkSession, folder: str | list[str], pattern: str = "*.j
     return out.where(F.col("line") != "")
 
 
+def numbered_lines(spark: SparkSession, folder: str | list[str], pattern: str = "*.jsonl") -> DataFrame:
+    """path, line_no, line, as json_lines gives them. A file of WHOLE_BYTES or less is one row that its lines are taken from in order, so many small
+    files are opened once and nothing is shuffled or joined to number their lines; larger ones are read by ranges."""
+    if not folder:
+        return json_lines(spark, folder).drop("end_offset")
+    size = F.col("_metadata.file_size")
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    whole = reader.text(folder, wholetext=True).where(size <= WHOLE_BYTES).select(local_path(F.col("_metadata.file_path")).alias("path"), F.posexplode(F.split("value", "\n")).alias("at", "value"))
+    small = whole.select("path", F.col("at").cast("long").alias("line_no"), F.regexp_replace("value", r"\r+\z", "").alias("line")).where(F.col("line") != "")
+    large = json_lines(spark, folder, pattern, larger_than=WHOLE_BYTES).drop("end_offset")
+    return small.unionByName(large)
+
+
 def lines_between(path: str, start: int, end: int) -> Iterator[tuple[int, int, bytes]]:
     """(first byte, byte after, line with its end) of the lines of a local file that begin in [start, end); a last line that isn't ended is left out."""
     with open(path, "rb") as f:

@@ -13,7 +13,7 @@ from spanforge.functions.text import WS, injected, string_at, trim_space, trunca
 from spanforge.operators.pairing import pair_latest
 from spanforge.operators.sessions import TEXT, first_value, last_value, session_key
 from spanforge.session import checkpointed
-from spanforge.sources.lines import content_items, decoded, files_of, joined_texts, json_lines, text_field, well_typed
+from spanforge.sources.lines import content_items, decoded, files_of, joined_texts, json_lines, numbered_lines, text_field, well_typed
 from spanforge.sources.parsed import Parsed
 
 HARNESS = "pi"
@@ -54,7 +54,7 @@ def records(lines: DataFrame) -> DataFrame:
     head = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("n", F.row_number().over(w)).withColumn("header_ok", F.first((string_at(v, "$.type") == "session") & string_at(v, "$.id").isNotNull()).over(head))
     rows = rows.where(F.coalesce("header_ok", F.lit(False)) & F.coalesce(well_typed(v, ("type", "id", "timestamp", "cwd", "modelId", "summary", "name")), F.lit(False)))
-    return rows.select("session_key", "path", "line_no", "end_offset", (F.col("n") == 1).alias("is_header"), *(text_field(v, n).alias(n) for n in ("type", "id", "timestamp", "cwd", "modelId", "summary", "name")),
+    return rows.select("session_key", "path", "line_no", *(c for c in ("end_offset",) if c in rows.columns), (F.col("n") == 1).alias("is_header"), *(text_field(v, n).alias(n) for n in ("type", "id", "timestamp", "cwd", "modelId", "summary", "name")),
                        F.coalesce(string_at(v, "$.parentId"), F.lit("")).alias("parent_id"), value_at(v, "$.message").alias("m"))
 
 
@@ -113,7 +113,7 @@ def starts(lines: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, folder: str, pattern: str = "*.jsonl", cwd: str | None = None, since: datetime | None = None, once: bool = False) -> Parsed:
     """All sessions below a folder, or those that pass. once: decoded records are written to the checkpoint folder first, so files are opened once, however often sessions, calls and marks read them."""
-    rows = records(json_lines(spark, files_of(spark, folder, pattern, starts, cwd, since), pattern))
+    rows = records((numbered_lines if once else json_lines)(spark, files_of(spark, folder, pattern, starts, cwd, since), pattern))
     rows = checkpointed(rows) if once else rows
     way = checkpointed(_way(rows)) if once else _way(rows)
     return Parsed.of(sessions(rows, way), *parse(rows, way), order=TEXT).filtered(cwd, since)

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from spanforge.sources.lines import json_lines
+from spanforge.sources.lines import WHOLE_BYTES, json_lines, numbered_lines
 
 
 def whole(path, complete):
@@ -53,3 +53,33 @@ def test_plan(spark, tmp_path, small_ranges):
     plan = numbered._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window") == 1  # over ranges; the one over lines went with end_offset
     assert [r["line"] for r in numbered.orderBy("line_no").collect()] == [f'{{"n": {k}}}' for k in range(3000)]
+
+
+def test_small_files_are_numbered_without_a_second_reading(spark, tmp_path):
+    """Many small logs once were read twice, and their lines joined with counts of lines, to be numbered."""
+    small, large = tmp_path / "a+b c.jsonl", tmp_path / "d" / "large.jsonl"
+    large.parent.mkdir()
+    small.write_bytes("\ré\r\n\n\r\nx\r\r\n\nlast".encode())
+    large.write_text("".join(f"{k:0100d}\n" * (k % 3 > 0) + "\n" for k in range(2 * WHOLE_BYTES // 100)))
+    (tmp_path / "empty.jsonl").write_text("")
+    got = numbered_lines(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(r[:3] for p in (small, large) for r in whole(p, False))
+    large.unlink()
+    left = numbered_lines(spark, str(tmp_path))
+    assert sorted(map(tuple, left.collect())) == sorted(r[:3] for r in whole(small, False))
+    assert numbered_lines(spark, []).count() == 0
+
+
+@pytest.mark.parametrize("source", ["claude", "codex", "pi"])
+def test_records_written_once_shuffle_no_lines(spark, tmp_path, source, monkeypatch):
+    """What is kept of logs that are read once was shuffled whole before, for offsets that nobody asked for."""
+    from importlib import import_module
+
+    module, kept = import_module(f"spanforge.sources.{source}"), []
+    (tmp_path / "a.jsonl").write_text('{"type": "user", "timestamp": "2024-01-01T00:00:00Z"}\n')
+    monkeypatch.setattr(module, "checkpointed", lambda df: kept.append(df) or df)
+    module.read(spark, str(tmp_path), once=True)
+    assert "end_offset" not in kept[0].columns
+    if source != "pi":  # its branches are walked by session
+        plan = kept[0]._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") <= 1  # that of large files
